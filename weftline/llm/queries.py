@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from ..session import table
-from . import tokens
+from . import dedup, tokens
 
 QUERIES = {
+    "p5_found": lambda s, d: dedup.duplicates(table(s, d, "manifest_entries")),
+    "p5_latest": lambda s, d: dedup.latest_batch(table(s, d, "manifest_entries")),
     "p8_ids": lambda s, d: tokens.encode_documents(table(s, d, "documents")),
 }
 SQL: dict[str, str] = {}
