@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from ..session import table
-from . import dedup, tokens
+from . import conversations, dedup, tokens
 
 QUERIES = {
+    "p4_found": lambda s, d: conversations.dropped(table(s, d, "codex_session")),
+    "p4_messages": lambda s, d: conversations.messages(table(s, d, "codex_session")),
     "p5_found": lambda s, d: dedup.duplicates(table(s, d, "manifest_entries")),
     "p5_latest": lambda s, d: dedup.latest_batch(table(s, d, "manifest_entries")),
     "p8_ids": lambda s, d: tokens.encode_documents(table(s, d, "documents")),
