@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..session import table
-from . import conversations, dedup, tokens
+from . import conversations, dedup, tokens, truncation
 
 QUERIES = {
     "p4_found": lambda s, d: conversations.dropped(table(s, d, "codex_session")),
@@ -11,5 +11,7 @@ QUERIES = {
     "p5_found": lambda s, d: dedup.duplicates(table(s, d, "manifest_entries")),
     "p5_latest": lambda s, d: dedup.latest_batch(table(s, d, "manifest_entries")),
     "p8_ids": lambda s, d: tokens.encode_documents(table(s, d, "documents")),
+    "p10_found": lambda s, d: truncation.truncated(table(s, d, "documents")),
+    "p10_rates": lambda s, d: truncation.rates(table(s, d, "documents")),
 }
 SQL: dict[str, str] = {}
