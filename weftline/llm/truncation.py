@@ -202,19 +202,20 @@ def _score(combos: pd.DataFrame) -> pd.DataFrame:
     cut = c[(c["censored"] > 0.9) & ~c["nl"]]
     whole = c[(c["censored"] == 0) & c["nl"] & (c["hunk"] != "open")]
 
-    def ratio(key: str, values: pd.Series) -> pd.Series:
-        kinds = max(c[key].nunique(), 2)
-        a, b = cut.groupby(key)["n"].sum(), whole.groupby(key)["n"].sum()
-        p = (a.reindex(values, fill_value=0) + 0.5) / (a.sum() + 0.5 * kinds)
-        q = (b.reindex(values, fill_value=0) + 0.5) / (b.sum() + 0.5 * kinds)
-        return pd.Series(np.log(p.to_numpy() / q.to_numpy()), index=values.index)
-
     # Without limits in the table nothing teaches the tails of cuts; then an unseen tail counts as such.
     if cut["n"].sum() >= 20 and whole["n"].sum() >= 20:
-        tail = ratio("tail", c["tail"])
+        kinds = max(c["tail"].nunique(), 2)
+        a, b = cut.groupby("tail")["n"].sum(), whole.groupby("tail")["n"].sum()
+        p = (a.reindex(c["tail"], fill_value=0).to_numpy() + 0.5) / (a.sum() + 0.5 * kinds)
+        pooled = (b.reindex(c["tail"], fill_value=0).to_numpy() + 0.5) / (b.sum() + 0.5 * kinds)
+        # Whole endings of the own source, drawn to those of all sources where it has few.
+        own = whole.groupby(["source", "tail"])["n"].sum().reindex(pd.MultiIndex.from_frame(c[["source", "tail"]]), fill_value=0).to_numpy()
+        size = whole.groupby("source")["n"].sum().reindex(c["source"], fill_value=0).to_numpy()
+        seen = a.reindex(c["tail"], fill_value=0).to_numpy() + b.reindex(c["tail"], fill_value=0).to_numpy()
+        tail = pd.Series(np.log(p * (size + 20) / (own + 20 * pooled)) * seen / (seen + 3), index=c.index)
     else:
-        tail = c["s2"].map({0: 2.0, 1: 0.0, 2: -1.5, 3: -3.0}) + c["s1"].map({0: 2.0, 1: 0.0, 2: -0.5, 3: -1.0})
-    tail = tail.where(c["hunk"] != "open", 0.0).clip(-5, 5)
+        tail = c["s2"].map({0: 2.0, 1: 0.0, 2: -1.5, 3: -3.0, 9: 1.0}) + c["s1"].map({0: 2.0, 1: 0.0, 2: -0.5, 3: -1.0, 9: 1.0})
+    tail = tail.where(c["hunk"] != "open", 0.0).clip(-7, 7)
     hunk = np.where(c["hunk"] == "open", 9.0, 0.0)
     post = np.zeros(len(c))
     for _source, rows in c.groupby("source"):
@@ -260,7 +261,7 @@ def scored(documents: DataFrame) -> DataFrame:
     full = full.withColumn("c2", F.coalesce("c2", F.lit(0)) - own).withColumn("c1", F.coalesce("c1", F.lit(0)) - own)
     full = stage(full.select(
         "doc_id", "source", "n_chars", "n_bytes", "nl", "hunk", F.coalesce("hit.censored", F.lit(0.0)).alias("censored"), "hit.limit_at",
-        F.when(F.col("a").startswith("hunk"), F.when(F.col("nl"), 3).otherwise(0)).otherwise(_bucket("c2")).alias("s2"), F.when(F.col("a").startswith("hunk"), 3).otherwise(_bucket("c1")).alias("s1"),
+        F.when(F.col("a").startswith("hunk"), 9).otherwise(_bucket("c2")).alias("s2"), F.when(F.col("a").startswith("hunk"), 9).otherwise(_bucket("c1")).alias("s1"),
     ))
     keys = ["source", "nl", "hunk", "s2", "s1", "censored"]
     combos = full.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
