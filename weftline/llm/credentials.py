@@ -44,14 +44,14 @@ KNOWN = re.compile(rf"(?<![A-Za-z0-9_\-])({PREFIX}[A-Za-z0-9_\-.]{{12,}})", re.A
 URL = re.compile(r"[a-z][a-z0-9+.\-]{1,20}://(?:([^\s:@/\"'\\]*):([^\s@/\"'\\]+)|([^\s:@/\"'\\]{12,}))@", re.A)
 HEADER = re.compile(rf"(?:Bearer|Basic|[Tt]oken|[Kk]ey:|Digest)[ ]+({_VALUE}{{8,}})", re.A)
 FLAG = re.compile(rf"(?:^|[\s\"])--?(?:p|pw|pass|password|token|secret|api-?key|auth|key)[ =]+\\?[\"']?({_VALUE}{{6,}})", re.A)
-USER_FLAG = re.compile(rf"[\s\"](?:-u|--user)[ =]+\\?[\"']?[^\s:\"'\\]+:({_VALUE}{{4,}})", re.A)
+USER_FLAG = re.compile(rf"[\s\"](?:-u|--user)[ =]*\\?[\"']?[^\s:\"'\\]+(?::|\s+-p\s?)({_VALUE}{{4,}})", re.A)
 LOGIN = re.compile(rf"[Ll]ogin(?: is|:)?\s+\S+\s+(?:/|password|pass|pw)\s+({_VALUE}{{4,}})", re.A)
 QUERY = re.compile(r"[?&](?:token|key|sig|signature|access_token|api_?key|password|secret|auth)=([^&\s\"'\\]{6,})", re.A | re.I)
 HOOK = re.compile(r"hooks?\.[\w.\-]+/(?:services/)?((?:[A-Za-z0-9]+/){1,3}[A-Za-z0-9]{12,})", re.A)
 PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)(PRIVATE|PUBLIC) KEY(?: BLOCK)?-----((?:\s|\\[nr]|[+\- ]|[A-Za-z0-9/=:,])*?)(?:-----END|(?=[^\sA-Za-z0-9+/=:,\\\-])|$)", re.A)
 #: name of the place -> (pattern, text that must occur first)
 PLACES = {
-    "pem": (PEM, "-----BEGIN"), "url": (URL, "://"), "header": (HEADER, " "), "flag": (FLAG, "-"), "user_flag": (USER_FLAG, "-u"),
+    "pem": (PEM, "-----BEGIN"), "url": (URL, "://"), "header": (HEADER, " "), "flag": (FLAG, "-"), "user_flag": (USER_FLAG, "-"),
     "login": (LOGIN, "ogin"), "query": (QUERY, "="), "hook": (HOOK, "hook"), "known": (KNOWN, ""), "named": (NAMED, ""), "quoted": (QUOTED, ""),
 }
 _TRIGGERS = {"header": ("Bearer ", "Basic ", "oken ", "Key: ", "key: "), "flag": (" -p ", " -p=", "--p", "--t", "--s", "--a", "--k", "-pw"), "user_flag": (" -u ", "--user"), "query": ("?", "&")}
