@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from ..session import table
-from . import conversations, credentials, dedup, tokens, truncation
+from . import conversations, credentials, dedup, personal, tokens, truncation
 
 QUERIES = {
     "p1_found": lambda s, d: credentials.secrets_found(table(s, d, "records"), table(s, d, "documents")),
     "p1_redacted": lambda s, d: credentials.redacted(table(s, d, "records"), table(s, d, "documents")),
+    "p2_found": lambda s, d: personal.personal_found(table(s, d, "records"), table(s, d, "accounts")),
+    "p2_redacted": lambda s, d: personal.redacted(table(s, d, "records"), table(s, d, "accounts")),
     "p4_found": lambda s, d: conversations.dropped(table(s, d, "codex_session")),
     "p4_messages": lambda s, d: conversations.messages(table(s, d, "codex_session")),
     "p5_found": lambda s, d: dedup.duplicates(table(s, d, "manifest_entries")),
