@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..session import table
-from . import conversations, credentials, dedup, personal, tokens, truncation
+from . import conversations, credentials, dedup, mix, personal, tokens, truncation
 
 QUERIES = {
     "p1_found": lambda s, d: credentials.secrets_found(table(s, d, "records"), table(s, d, "documents")),
@@ -15,6 +15,8 @@ QUERIES = {
     "p5_found": lambda s, d: dedup.duplicates(table(s, d, "manifest_entries")),
     "p5_latest": lambda s, d: dedup.latest_batch(table(s, d, "manifest_entries")),
     "p8_ids": lambda s, d: tokens.encode_documents(table(s, d, "documents")),
+    "p9_mix": lambda s, d: mix.mixed(table(s, d, "documents"), table(s, d, "mix_targets")),
+    "p9_shares": lambda s, d: mix.shares(table(s, d, "documents"), table(s, d, "mix_targets")),
     "p10_found": lambda s, d: truncation.truncated(table(s, d, "documents")),
     "p10_rates": lambda s, d: truncation.rates(table(s, d, "documents")),
 }
