@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..operators.timestamps import canonical, days_from_civil, valid_date
+from ..operators.timestamps import canonical
 
-RFC3339 = r"^(\d{4})-(\d{2})-(\d{2})T(\d{2}):(\d{2}):(\d{2})(?:[.,]\d+)?(Z|[+-]\d{2}:\d{2})$"
-PLAIN = r"^(\d{4})-(\d{2})-(\d{2}) (\d{2}):(\d{2}):(\d{2})(?:[.,]\d+)?()$"
+RFC3339 = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:[.,]\d+)?(?:Z|[+-]\d{2}:\d{2})$"
+PLAIN = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(?:[.,]\d+)?$"
 
 
 def text(c: Column) -> Column:
@@ -20,15 +20,9 @@ def first_non_empty(*columns: Column) -> Column:
     return F.coalesce(*[F.when(F.trim(c) != "", c) for c in columns], F.lit(""))
 
 
-def _clock(value: Column, pattern: str) -> Column:
+def _clock(value: Column, pattern: str, zone: str = "") -> Column:
     """Seconds since 1970 of a value that fits ``pattern``, or null where a part is out of range."""
-    part = lambda i: F.regexp_extract(value, pattern, i)
-    n = lambda i: part(i).try_cast("long")
-    zone = part(7)
-    hours, minutes = F.substring(zone, 2, 2).try_cast("long"), F.substring(zone, 5, 2).try_cast("long")
-    shift = F.when(zone.isin("", "Z"), 0).when((hours <= 24) & (minutes < 60), (hours * 60 + minutes) * 60 * F.when(F.substring(zone, 1, 1) == "-", -1).otherwise(1))
-    ok = value.rlike(pattern) & valid_date(n(1), n(2), n(3)) & (n(4) < 24) & (n(5) < 60) & (n(6) < 60)
-    return F.when(ok, days_from_civil(n(1), n(2), n(3)) * 86400 + n(4) * 3600 + n(5) * 60 + n(6) - shift)
+    return F.when(value.rlike(pattern), F.unix_seconds(F.concat(F.translate(value, ",", "."), F.lit(zone)).try_cast("timestamp")))
 
 
 def rfc3339_seconds(value: Column) -> Column:
@@ -38,7 +32,7 @@ def rfc3339_seconds(value: Column) -> Column:
 def timestamp_seconds(value: Column) -> Column:
     """Seconds of RFC 3339, ``yyyy-MM-dd HH:mm:ss`` (UTC) or an integer count of milliseconds; null otherwise."""
     millis = F.floor(F.when(value.rlike(r"^[+-]?\d{1,18}$"), value.try_cast("long")) / 1000)
-    return F.coalesce(rfc3339_seconds(value), _clock(value, PLAIN), millis)
+    return F.coalesce(rfc3339_seconds(value), _clock(value, PLAIN, "Z"), millis)
 
 
 def normalize_timestamp(value: Column) -> Column:
