@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,3 +65,25 @@ def stage(df: DataFrame, *partition_by: str) -> DataFrame:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the session's Python workers this package, once, wherever they run."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(sc.applicationId)
+    package = Path(__file__).resolve().parent
+    sources = sorted(package.rglob("*.py"))
+    name = "weftline-" + hashlib.sha256(b"".join(p.read_bytes() for p in sources)).hexdigest()[:12] + ".zip"
+    shared = shared_dir(spark)
+    # The driver serves the file to the executors; the shared folder is preferred where it is a plain one.
+    folder = Path(shared.removeprefix("file://")) if shared.startswith(("file:", "/")) else Path(tempfile.mkdtemp())
+    folder.mkdir(parents=True, exist_ok=True)
+    with zipfile.ZipFile(folder / name, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sources:
+            z.write(p, p.relative_to(package.parent))
+    sc.addPyFile(str(folder / name))
