@@ -160,7 +160,9 @@ def _limits(rows: pd.DataFrame) -> pd.DataFrame:
                 continue
             mass, unended = at(cum, s - width + 1, s), at(cumo, s - width + 1, s)
             around = max(at(cum, s - 60, s - width) / (60 - width + 1), at(cum, s + 1, s + 60) / 60, 0.02)
-            if unended >= 0.9 * mass and here >= 5 + 8 * around and unended >= 5 + 8 * around * width:
+            # A limit leaves few longer texts (an ellipsis or converted line ends may add to it).
+            longer = cum[-1] - cum[np.searchsorted(size, s + 3, "right")]
+            if longer <= 2 * mass and unended >= 0.9 * mass and here >= 5 + 8 * around and unended >= 5 + 8 * around * width:
                 found.append((s, mass))
         found = [f for f in found if not any(0 < o[0] - f[0] < width for o in found)]
         if not found:
@@ -245,9 +247,9 @@ def scored(documents: DataFrame) -> DataFrame:
     rows = stage(features(documents))
     docs = rows.where("row = 0").drop("row", "n")
     endings = rows.where("row = 1")
-    # Line endings of the same source; the hot source's counts were combined per batch.
-    two = endings.groupBy("source", "a").agg(F.sum("n").alias("c2"))
-    one = endings.groupBy("source", "b").agg(F.sum("n").alias("c1"))
+    # Line endings of all sources: a source that never ends with a newline has none of its own.
+    two = endings.groupBy("a").agg(F.sum("n").alias("c2"))
+    one = endings.groupBy("b").agg(F.sum("n").alias("c1"))
     lim = stage(limits(docs))
     near = F.broadcast(lim) if lim.count() <= 10_000 else lim
     size = F.when(F.col("unit") == "bytes", F.col("n_bytes")).otherwise(F.col("n_chars"))
@@ -255,7 +257,7 @@ def scored(documents: DataFrame) -> DataFrame:
         docs.join(near, "source").where((size <= F.col("limit_at")) & (size > F.col("limit_at") - F.col("width")))
         .groupBy("doc_id").agg(F.max(F.struct("censored", "limit_at")).alias("hit"))
     )
-    full = docs.join(hits, "doc_id", "left").join(two, ["source", "a"], "left").join(one, ["source", "b"], "left")
+    full = docs.join(hits, "doc_id", "left").join(two, "a", "left").join(one, "b", "left")
     # A text's own last line counts towards its ending when it is terminated.
     own = F.when(F.col("nl") & ~F.col("a").startswith("hunk"), 1).otherwise(0)
     full = full.withColumn("c2", F.coalesce("c2", F.lit(0)) - own).withColumn("c1", F.coalesce("c1", F.lit(0)) - own)
