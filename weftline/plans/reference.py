@@ -9,6 +9,7 @@ from ..functions import scalar, secretscan
 from ..operators import attest, manifest, records, redaction
 from ..operators.timestamps import canonical
 from ..session import table
+from ..sources import claudecode, codex, sinks, traces
 from . import render
 
 QUERIES: dict = {}
@@ -440,3 +441,34 @@ def suppress_reasoning(s, d):
 def point_lookup(s, d):
     least = table(s, d, "records").agg(F.min("record_id")).first()[0]
     return records.first_wins(table(s, d, "records").where(F.col("record_id") == F.lit(least))).select("record_id", "origin", "model")
+
+
+# The session folds over the line tables, a file being what one session wrote to one file.
+@query("codex_records")
+def codex_records(s, d):
+    rows = table(s, d, "codex_session").where("session_id is not null").dropDuplicates(["row_id"])
+    raw = F.concat(F.lit('{"type":'), _quoted("type"), F.lit(',"timestamp":'), F.coalesce(_quoted("timestamp"), F.lit("null")), F.lit(',"payload":'), F.coalesce("payload", F.lit("null")), F.lit("}"))
+    lines = rows.select(F.concat_ws("/", "session_id", "file").alias("path"), F.struct("line_no", "row_id").alias("ord"), raw.alias("raw"), F.col("session_id").alias("record_id"))
+    return codex.assemble(lines.select("path", F.col("ord.line_no").alias("ord"), "raw", "record_id"))
+
+
+def _quoted(c: str):  # noqa: ANN202
+    return F.regexp_extract(F.to_json(F.struct(F.col(c).alias("v"))), r'^\{"v":(.*)\}$', 1) if c == "type" else F.when(F.col(c).isNotNull(), F.regexp_extract(F.to_json(F.struct(F.col(c).alias("v"))), r'^\{"v":(.*)\}$', 1))
+
+
+@query("claudecode_records")
+def claudecode_records(s, d):
+    rows = table(s, d, "raw_lines").where("store = 'claudecode'").dropDuplicates(["file_id", "line_no"])
+    return claudecode.assemble(rows.select(F.col("file_id").cast("string").alias("path"), F.col("line_no").alias("ord"), "raw", F.col("file").alias("record_id"), F.lit("claudecode").alias("grouping")).where("raw is not null"))
+
+
+@query("amp_records")
+def amp_records(s, d):
+    rows = table(s, d, "raw_lines").where("store = 'amp'").dropDuplicates(["file_id", "line_no"])
+    return traces.amp_traces(rows.select(F.col("file_id").cast("string").alias("path"), F.lit("default").alias("grouping"), "raw").where("raw is not null"))
+
+
+@query("canonical_lines", f"select count(*) as lines, count(*) as with_id from {ONE}")
+def canonical_lines(s, d):
+    lines = sinks.json_lines(_records(s, d))
+    return lines.agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.get_json_object("value", "$.record_id").isNotNull()).alias("with_id"))
