@@ -147,3 +147,46 @@ def test_sqlite_sources(spark, tmp_path):
         c.executemany("insert into session_messages values(?,?,?,?,?,?)", [("2", "s", "assistant", "a", None, "2026-01-01 00:00:02"), ("1", "s", "User", "q", None, "2026-01-01 00:00:01"), ("3", "s", "noise", "z", None, "2026-01-01 00:00:03")])
     (r,) = databases.orchestrator(spark, str(orc)).collect()
     assert (r.record_id, r.grouping, r.branch, r.working_dir, [t.text for t in r.turns]) == ("s", "orchestrator:Repo", "dev", "/w/one", ["q", "a"])
+
+
+def test_codex_fold_against_a_plain_loop(spark, sf):
+    """Turn roles and texts of every session file of the test table, against a sequential reading of its rows."""
+    from weftline.plans import reference
+
+    rows = {r.row_id: r for r in spark.read.parquet(f"{sf}/codex_session.parquet").where("session_id is not null").collect()}
+    files = {}
+    for r in rows.values():
+        files.setdefault(f"{r.session_id}/{r.file}", []).append(r)
+    want = {}
+    for path, items in files.items():
+        turns, calls, why = [], 0, []
+
+        def push(t, turns=turns):
+            if not turns or turns[-1] != t:
+                turns.append(t)
+
+        for r in sorted(items, key=lambda r: r.line_no):
+            try:
+                p = json.loads(r.payload) if r.payload else None
+            except ValueError:
+                continue
+            p = p if isinstance(p, dict) else {}
+            says = p.get("role") if p.get("type") == "message" and r.type == "response_item" else None
+            content = p.get("content")
+            text = "\n".join(b.get("text") or "" for b in content if b.get("type") in ("input_text", "output_text", "text")) if isinstance(content, list) else ""
+            if p.get("type") in ("function_call", "custom_tool_call"):
+                calls += 1
+            elif p.get("type") == "reasoning":
+                why += [b["text"] for b in p.get("summary") or [] if b.get("text") and b["text"] not in why]
+            if says in ("user", "assistant"):
+                t = ("assistant", text if says == "assistant" else "", "\n".join(why), calls)
+                if any(t[1:]):
+                    push(t)
+                    calls, why = 0, []
+                if says == "user" and text:
+                    push(("user", text, "", 0))
+        if calls or why:
+            push(("assistant", "", "\n".join(why), calls))
+        want[path] = turns
+    got = {r._provenance.source_path: [(t.role, t.text, t.reasoning, len(t.tool_calls)) for t in r.turns] for r in reference.codex_records(spark, sf).collect()}
+    assert {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if v}

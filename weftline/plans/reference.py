@@ -10,7 +10,7 @@ from ..operators import attest, manifest, records, redaction
 from ..operators.timestamps import canonical
 from ..session import table
 from ..sources import claudecode, codex, sinks, traces
-from . import render
+from . import render, templates
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -472,3 +472,17 @@ def amp_records(s, d):
 def canonical_lines(s, d):
     lines = sinks.json_lines(_records(s, d))
     return lines.agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.get_json_object("value", "$.record_id").isNotNull()).alias("with_id"))
+
+
+#: A small function-calling layout, as a template file would hold it.
+CALLING_TEMPLATE = """{{- bos_token }}{% for m in messages %}{% if m.tool_calls is defined %}<|{{ m.role }}|>
+{{ m.content }}{% for c in m.tool_calls %}
+<call>{{ c.name }} {{ c.arguments|tojson }}</call>{% endfor %}{{ eos_token }}
+{% else %}<|{{ m.role }}|>
+{{ m.content|trim }}{{ eos_token }}
+{% endif %}{% endfor %}"""
+
+
+@query("template_file")
+def template_file(s, d):
+    return templates.render_records(_records(s, d), CALLING_TEMPLATE, eos_token="</s>")
