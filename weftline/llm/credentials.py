@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ..session import stage
 
 MARK = "[SECRET]"
-#: The classifier is fitted on at most this many weakly labelled candidates, taken by hash of the value.
+#: The classifier is fitted on about this many weakly labelled candidates at most, taken by hash.
 TRAINING_ROWS = 40_000
 THRESHOLD = 0.5
 
@@ -265,7 +265,9 @@ def train(found: DataFrame, rows: int = TRAINING_ROWS) -> Model:
     table = np.zeros(PAIRS)
     table[counts["k"].to_numpy(int)] = counts["n"].to_numpy(float)
     table = markov(table)
-    sample = found.where("row = 0 and label >= 0").select("value", "label", "x", F.xxhash64("value", *KEYS).alias("h")).orderBy("h").limit(rows).toPandas()
+    labelled = found.where("row = 0 and label >= 0").select("value", "label", "x", F.pmod(F.xxhash64("value", *KEYS), F.lit(1_000_000)).alias("h"))
+    share = rows / max(labelled.count(), 1)
+    sample = (labelled.where(F.col("h") < int(share * 1_000_000)) if share < 1 else labelled).toPandas()
     prior = np.zeros(len(FEATURES))
     for name, w in {"bias": -3, "mixed": 2, "prefix": 4, "password_name": 2, "key_name": 2, "placeholder": -8, "no_digit": -4, "negative": -5, "uuid": -6, "dotted": -5, "only_digits": -6, "hex": -2, "pem": 8, "url": 4, "user_flag": 4, "login": 4, "header": 4, "hook": 6, "query": 2, "flag": 2}.items():
         prior[FEATURES.index(name)] = w
