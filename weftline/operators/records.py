@@ -51,16 +51,19 @@ def validity() -> Column:
 
 
 def first_wins(records: DataFrame, *order: Column) -> DataFrame:
-    """One row per record_id: orchestrator's first, then by origin, source path and ``order``."""
-    # Only keys are ranked; the payload follows by a join on the row's own rank columns where it is large.
-    rank = F.row_number().over(_window("record_id", F.when(F.col("origin") == "orchestrator", 0).otherwise(1), F.col("origin"), F.col("_provenance.source_path"), *order))
-    return records.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
+    """One row per record_id: orchestrator's first, then by origin, source path and ``order``.
 
-
-def _window(key: str, *order: Column):  # noqa: ANN202
+    Only record ids are shuffled to find the repeated ones; the payload of
+    those alone is ranked, the rest passes through (the ids of repeats are
+    broadcast where the plan sees at run time that they are few). Rows without
+    record_id are no repeats of each other and are all kept.
+    """
     from pyspark.sql import Window
 
-    return Window.partitionBy(key).orderBy(*order)
+    repeated = records.groupBy("record_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and record_id is not null").select("record_id")
+    rank = F.row_number().over(Window.partitionBy("record_id").orderBy(F.when(F.col("origin") == "orchestrator", 0).otherwise(1), F.col("origin"), F.col("_provenance.source_path"), *order))
+    several = records.join(repeated, "record_id", "left_semi").withColumn("__rank", rank).where("__rank = 1").drop("__rank")
+    return records.join(repeated, "record_id", "left_anti").unionByName(several)
 
 
 def usage_counts(records: DataFrame) -> DataFrame:
