@@ -486,3 +486,40 @@ CALLING_TEMPLATE = """{{- bos_token }}{% for m in messages %}{% if m.tool_calls
 @query("template_file")
 def template_file(s, d):
     return templates.render_records(_records(s, d), CALLING_TEMPLATE, eos_token="</s>")
+
+
+@query("inspect_groupings", f"""select coalesce(grouping, '') as label, count(*) as records, coalesce(grouping, '') in (select grouping from records where grouping is not null group by 1 having count(*) < 5) as excluded from {ONE} group by 1 order by 1""")
+def inspect_groupings(s, d):
+    r = table(s, d, "records")
+    excluded = r.where("grouping is not null").groupBy("grouping").agg(F.count(F.lit(1)).alias("n")).where("n < 5").select(F.col("grouping").alias("label"), F.lit(True).alias("hit"))
+    groups = _records(s, d).groupBy(F.coalesce("grouping", F.lit("")).alias("label")).agg(F.count(F.lit(1)).alias("records"))
+    return groups.join(excluded, "label", "left").select("label", "records", F.col("hit").isNotNull().alias("excluded")).orderBy("label")
+
+
+_CALLS = f"""(select record_id, turn_no, generate_subscripts(calls, 1) - 1 as call_no, unnest(calls) as call from (select record_id, i - 1 as turn_no, x.tool_calls as calls
+ from (select record_id, unnest(turns) as x, generate_subscripts(turns, 1) as i from {ONE}) where x is not null and x.tool_calls is not null))"""
+_JOINED = "coalesce(array_to_string(list_filter(list_transform(coalesce(call.output.content, []), lambda b: coalesce(b.text, '')), lambda t: t <> ''), chr(10)), '')"
+
+
+@query("tool_output_text", f"""select record_id, 'call_' || turn_no || '_' || call_no || '_' || coalesce(call.tool, '') as call_id, case when coalesce(call.output.text, '') <> '' then call.output.text when {_JOINED} <> '' then {_JOINED}
+ when ltrim(call.output.raw)[1] = '"' then json_extract_string(call.output.raw, '$') else coalesce(call.output.raw, '') end as text from {_CALLS} where call is not null and call.output is not null""")
+def tool_output_text(s, d):
+    calls = records.calls(_records(s, d)).where("call.output is not null")
+    return calls.select("record_id", scalar.call_id(F.col("turn_no"), F.col("call_no"), F.col("call.tool")).alias("call_id"), scalar.output_text(F.col("call.output")).alias("text"))
+
+
+_SCANNED = f"""(select record_id, coalesce(grouping, '') || chr(10) || coalesce(working_dir, '') || chr(10) || coalesce({_BODY}, '') as text from {ONE})"""
+
+
+@query("scan_record", f"""select record_id, len({_EMAILS})::bigint as emails, len(list_distinct(flatten([{', '.join(f"regexp_extract_all(text, {_lit(p)}, {g})" for _, p, g in secretscan.PATTERNS)}])))::bigint as tokens from {_SCANNED}""")
+def scan_record(s, d):
+    body = F.array_join(F.transform(F.filter("turns", lambda x: x.isNotNull()), lambda x: F.concat(scalar.text(x["text"]), F.lit("\n"), scalar.text(x["reasoning"]))), "\n")
+    full = _records(s, d).select("record_id", F.concat(scalar.text(F.col("grouping")), F.lit("\n"), scalar.text(F.col("working_dir")), F.lit("\n"), F.coalesce(body, F.lit(""))).alias("text"))
+    return full.select("record_id", F.size(secretscan.emails(F.col("text"))).cast("long").alias("emails"), F.size(secretscan.tokens(F.col("text"))).cast("long").alias("tokens"))
+
+
+@query("finding_summary")
+def finding_summary(s, d):
+    n = attest.counts(table(s, d, "documents"), "doc_id", "text")
+    line = F.format_string("%d emails, %d public IPs, %d token-like matches, %d entropy matches", *[F.col(c) for c in ("emails", "public_ips", "tokens", "high_entropys")])
+    return n.select(F.when(F.col("emails") + F.col("public_ips") + F.col("tokens") + F.col("high_entropys") == 0, "no findings").otherwise(line).alias("summary"))
