@@ -4,6 +4,7 @@ import base64
 import json
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -88,6 +89,15 @@ def test_mentions(text, want):
     assert [m.label for m in personal.mentions(text, PEOPLE) if m.label in personal.KINDS] == want
 
 
+@pytest.mark.parametrize("text", ["A" * 300_000, "a.b@c.de " * 20_000, "1 2-3 " * 60_000, 'token="aB3dE5gH7jK9mN1pQ3sT" ' * 4_000, "-----BEGIN PRIVATE KEY-----\n" + "QUJD" * 100_000, "a at b @ c " * 20_000, "\n" * 300_000])
+def test_very_long_texts_take_seconds(text):
+    began = time.perf_counter()
+    personal.mentions(text, PEOPLE)
+    credentials.candidates(text)
+    truncation.read_text(text, Counter())
+    assert time.perf_counter() - began < 20
+
+
 def test_patterns_discover_unseen_names(spark):
     turn = "struct<role:string,timestamp:string,text:string,reasoning:string>"
     known = [f"my name is {g} {f} and more" for g, f in (("Orrin", "Fennmere"), ("Imke", "Tarnstead")) for _ in range(6)]

@@ -88,7 +88,7 @@ def file_path(text: str, at: int) -> str:
 def candidates(text: str) -> list[Candidate]:
     """The candidate values of a text, without overlaps; a more telling place wins over quotes."""
     out: list[Candidate] = []
-    taken: list[tuple[int, int]] = []
+    taken = bytearray(len(text))
     for place, (pattern, need) in PLACES.items():
         if need and need not in text or place in _TRIGGERS and not any(t in text for t in _TRIGGERS[place]):
             continue
@@ -96,7 +96,7 @@ def candidates(text: str) -> list[Candidate]:
             name = ""
             if place == "pem":
                 if m[2] == "PUBLIC":
-                    taken.append(m.span())
+                    taken[m.start() : m.end()] = b"\1" * (m.end() - m.start())
                     continue
                 span = m.span(3)
             elif place == "url":
@@ -111,9 +111,9 @@ def candidates(text: str) -> list[Candidate]:
             if len(value) < 4 or "://" in value:
                 continue
             end = span[0] + len(value)
-            if any(s < end and span[0] < e for s, e in taken):
+            if taken.find(1, span[0], end) >= 0:
                 continue
-            taken.append((span[0], end))
+            taken[span[0] : end] = b"\1" * len(value)
             line = text.rfind("\n", 0, span[0]) + 1
             out.append(Candidate(span[0], end, place, name, value, text[max(line, span[0] - 60) : span[0]], file_path(text, span[0])))
     return out
