@@ -143,7 +143,7 @@ def describe(c: Candidate) -> tuple[float, ...]:
     near = f"{c.before[-40:]} {c.name}"
     flags = (
         bool(HEX.match(v)), bool(UUID.match(v)), bool(PLACEHOLDER.search(v)), bool(DOTTED.match(v)) and len(v) <= 64 and not re.match(PREFIX, v), bool(re.match(PREFIX, v)),
-        not has_digit and c.place != "pem", v.replace(".", "").isdigit(), bool(NEGATIVE.search(near)) or v.startswith(("sha", "iVBOR", "data:", "AAAA")),
+        not has_digit and c.place != "pem", v.replace(".", "").isdigit(), bool(NEGATIVE.search(near)) or bool(re.match(r"sha\d|iVBOR|data:|AAAA", v)),
         bool(PASSWORD.search(near)), bool(re.search(_NAME, near)), bool(plain), bool(re.search(r"config|\.env|\.ya?ml|\.toml|\.ini|secret", c.path)), "test" in c.path,
     )
     mixed = digits > 0 and upper > 0 and lower > 0
