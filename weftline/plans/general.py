@@ -17,4 +17,13 @@ QUERIES = {
     "p7_types": lambda s, d: drift.promoted_types(table(s, d, "raw_lines"), table(s, d, "store_fields")),
     "p7_lines": lambda s, d: drift.consistent(table(s, d, "raw_lines")),
 }
-SQL: dict[str, str] = {}
+
+_TURNS = "(select record_id, i - 1 as turn_no, x from (select record_id, unnest(turns) as x, generate_subscripts(turns, 1) as i from records) where x is not null)"
+_CALLS = f"(select record_id, turn_no, i - 1 as call_no, c from (select record_id, turn_no, unnest(x.tool_calls) as c, generate_subscripts(x.tool_calls, 1) as i from {_TURNS}) where c is not null)"
+SQL: dict[str, str] = {
+    "p6_found": f"""select distinct record_id, turn_no::bigint as turn_no, 'tool_call' as item, -1::bigint as call_no, call_no::bigint as item_no from {_CALLS}
+ union select record_id, turn_no, 'output_block', call_no, i - 1 from (select record_id, turn_no, call_no, unnest(c.output.content) as b, generate_subscripts(c.output.content, 1) as i from {_CALLS}) where b is not null
+ union select record_id, turn_no, 'attachment', -1, i - 1 from (select record_id, turn_no, unnest(x.attachments) as b, generate_subscripts(x.attachments, 1) as i from {_TURNS}) where b is not null""",
+    "p6_turns": f"""select distinct record_id, turn_no::bigint as turn_no, x.role as role, x.timestamp as timestamp, x.text as text, x.reasoning as reasoning, x.extensions as extensions,
+ coalesce(len(list_filter(x.tool_calls, lambda c: c is not null)), -1)::bigint as n_calls, coalesce(len(list_filter(x.attachments, lambda c: c is not null)), -1)::bigint as n_attachments from {_TURNS}""",
+}
