@@ -159,3 +159,47 @@ def test_drift_small(spark):
     lines = spark.createDataFrame([(k, "s", json.dumps(v)) for k, v in docs.items()] + [(7, "s", '{"a": '), (7, "s", ""), (7, "s", None), (8, "s", "5")], "file_id long, store string, raw string")
     got = sorted(tuple(r) for r in drift.changes(lines, spec).collect())
     assert got == [(2, "a.x", "renamed"), (2, "t", "new_value"), (3, "a.x", "removed"), (3, "a.y", "added"), (4, "a", "retyped"), (4, "t", "removed"), (5, "a.x", "retyped"), (5, "l[].k", "retyped"), (5, "n", "added")]
+
+
+def test_consistent_lines_carry_every_field(spark):
+    docs = [
+        {"type": "a", "n": 1, "m": 1, "big": 2**60, "mix": "s", "deep": {"x.y": [1, None, 2], "X": "up", "x": "low", "": [True]}, "none": None},
+        {"type": "b", "n": 2.5, "m": "t", "big": 2**64, "mix": [{"k": 1.5}], "msgs": [{"role": "user", "calls": [{"id": 7}]}, {"role": None, "text": "\ud800é"}], "empty": {}},
+        {"renamed": {"gitBranch": "main"}, "map": {f"k{i}": i for i in range(drift.MOST_NAMES + 1)}},
+    ]
+    lines = spark.createDataFrame([(1, i, "s" if i else None, None, json.dumps(d)) for i, d in [*enumerate(docs), (0, docs[0])]] + [(1, 9, "s", None, '{"cut": '), (1, 10, "s", None, "5")], "file_id long, line_no long, store string, client_version string, raw string")
+    got = {r.line_no: r for r in drift.consistent(lines).collect()}
+    assert sorted(got) == [0, 1, 2] and got[0].type == "a"
+    a, b, c = (got[i].fields.asDict(True) for i in range(3))
+    assert (a["n"], b["n"], a["m"], b["m"], a["big"], b["big"]) == (1.0, 2.5, "1", "t", str(2**60), str(2**64))
+    assert (a["mix"], b["mix"]) == ('"s"', '[{"k": 1.5}]') and a["deep"]["x.y"] == [1, None, 2] and a["deep"]["_"] == [True] and sorted(map(str, a["deep"].values())) == sorted(["[1, None, 2]", "[True]", "up", "low"])
+    assert b["msgs"] == [{"role": "user", "calls": [{"id": 7}], "text": None}, {"role": None, "calls": None, "text": "?é"}] and b["empty"] == "{}"
+    assert c["renamed"] == {"gitBranch": "main"} and json.loads(c["map"]) == docs[2]["map"] and a["map"] is None
+
+
+def test_consistent_lines_against_python(spark, sf, tmp_path):
+    """Every non-null leaf of every line is in ``fields``, counted by its text."""
+    lines = spark.read.parquet(f"{sf}/raw_lines.parquet")
+    drift.consistent(lines).write.parquet(str(tmp_path / "lines"))
+
+    def leaves(v):
+        if isinstance(v, dict | list):
+            return [x for y in (v.values() if isinstance(v, dict) else v) for x in leaves(y)]
+        text = v if isinstance(v, str) else json.dumps(v)
+        try:
+            return [] if v is None else [repr(float(text))]
+        except ValueError:
+            return [text]
+
+    schema = drift.union_schema(lines)
+
+    def back(v, node):
+        if v is None or node.to in ("long", "double", "boolean", "string"):
+            return v
+        if node.to == "json":
+            return json.loads(v)
+        return [back(x, node.children["[]"]) for x in v] if node.to == "array" else {k: back(v[c], n) for k, c, n in node.named()}
+
+    got = {(r["file_id"], r["line_no"]): sorted(leaves(back(r["fields"].asDict(True), schema))) for r in spark.read.parquet(str(tmp_path / "lines")).collect()}
+    want = {(r.file_id, r.line_no): sorted(leaves(v)) for r in lines.collect() if (v := drift.parse(r.raw)) is not None}
+    assert got == want
