@@ -161,6 +161,26 @@ def test_reasons(spark):
     assert [(r.session_id, r.position, r.role) for r in kept] == [("ok", 0, "user"), ("ok", 1, "assistant"), ("two", 0, "user"), ("two", 1, "assistant")]
 
 
+def test_messages_without_session(spark):
+    from datetime import datetime
+
+    at = datetime(2025, 1, 1)
+    quoted = "call_" + "ab" * 10
+    say = lambda role, text, **more: json.dumps({"type": "message", "role": role, "content": text, **more})
+    rows = [
+        # Sessions s1 and s2 share file g; a lost row lies in g, another quotes a call of s1; of two more one leads nowhere and one to a dropped session.
+        ("s1", "f", 0, say("user", "1")), ("s1", "f", 1, json.dumps({"type": "function_call", "call_id": quoted})), ("s1", "f", 2, json.dumps({"type": "function_call_output", "call_id": quoted})), ("s1", "g", 0, say("assistant", "2")),
+        ("s2", "g", 1, say("user", "3")), ("s2", "g", 3, say("assistant", "5")), (None, "g", 2, say("user", "4")), (None, "h", 0, say("assistant", "6", call_id=quoted)),
+        (None, "x", 0, say("user", "nowhere")), (None, None, 0, say("user", "nowhere")), ("bad", "y", 0, say("user", "no reply")), (None, "y", 1, say("assistant", "dropped with bad")),
+    ]
+    day = {"f": 1, "g": 2, "h": 3}
+    rows = [(n, s, f, line, "response_item", f"2025-01-0{day.get(f, 4)}T00:00:00Z", None, p, at) for n, (s, f, line, p) in enumerate(rows)]
+    df = spark.createDataFrame(rows + rows, CODEX)
+    assert dict(conversations.dropped(df).collect()) == {"bad": "no_reply"}
+    kept = conversations.messages(df).orderBy("position").collect()
+    assert [tuple(r) for r in kept] == [("s1", s, i, role, str(i + 1)) for i, (s, role) in enumerate([("s1", "user"), ("s1", "assistant"), ("s2", "user"), (None, "user"), ("s2", "assistant"), (None, "assistant")])]
+
+
 # P5
 
 
