@@ -31,13 +31,33 @@ def rfc3339_seconds(value: Column) -> Column:
 
 def timestamp_seconds(value: Column) -> Column:
     """Seconds of RFC 3339, ``yyyy-MM-dd HH:mm:ss`` (UTC) or an integer count of milliseconds; null otherwise."""
-    millis = F.floor(F.when(value.rlike(r"^[+-]?\d{1,18}$"), value.try_cast("long")) / 1000)
+    count = F.when(value.rlike(r"^[+-]?\d{1,18}$"), value.try_cast("long"))
+    millis = _div(count, 1000)
     return F.coalesce(rfc3339_seconds(value), _clock(value, PLAIN, "Z"), millis)
 
 
+def _div(a: Column, b: int) -> Column:
+    """Floor of a / b, exact for any long."""
+    return F.call_function("div", a - F.pmod(a, F.lit(b)), F.lit(b))
+
+
+def utc_text(t: Column) -> Column:
+    """Seconds since 1970 as ``yyyy-MM-ddTHH:mm:ssZ`` for any year; far years take more digits, those before 0 a minus.
+
+    The calendar repeats every 400 years, so the day is looked up in the first ones since 1970.
+    """
+    era = 400 * 365 + 97
+    days = _div(t, 86400)
+    near = canonical(F.pmod(days, F.lit(era)) * 86400 + F.pmod(t, F.lit(86400)))
+    year = F.substring(near, 1, 4).cast("long") + 400 * _div(days, era)
+    digits = F.abs(year).cast("string")
+    padded = F.when(F.length(digits) < 4, F.lpad(digits, 4, "0")).otherwise(digits)
+    return F.concat(F.when(year < 0, "-").otherwise(""), padded, F.substring(near, 5, 16))
+
+
 def normalize_timestamp(value: Column) -> Column:
-    """``yyyy-MM-ddTHH:mm:ssZ`` in UTC, sub-seconds dropped; '' for what is no time."""
-    return F.coalesce(canonical(timestamp_seconds(value)), F.lit(""))
+    """``yyyy-MM-ddTHH:mm:ssZ`` in UTC, sub-seconds dropped; '' for what is no time. Counts far from now give far years."""
+    return F.coalesce(utc_text(timestamp_seconds(value)), F.lit(""))
 
 
 def display_label(path: Column, home: str = "") -> Column:

@@ -293,6 +293,19 @@ def ts_bounds(s, d):
     return rows.groupBy("session_id").agg(at(F.min("t")).alias("started_at"), at(F.max("t")).alias("ended_at"))
 
 
+# The whole job: the two above hold only the counts that DuckDB formats alike, as their SQL does.
+@query("ts_normalize_all")
+def ts_normalize_all(s, d):
+    return _times(s, d).select("row_id", scalar.normalize_timestamp(F.col("v")).alias("utc"))
+
+
+@query("ts_bounds_all")
+def ts_bounds_all(s, d):
+    rows = _times(s, d).where("session_id is not null").withColumn("t", scalar.timestamp_seconds(F.col("v")))
+    at = lambda c: F.coalesce(scalar.utc_text(c), F.lit(""))
+    return rows.groupBy("session_id").agg(F.min("t").alias("a"), F.max("t").alias("b")).select("session_id", at(F.col("a")).alias("started_at"), at(F.col("b")).alias("ended_at"))
+
+
 # Tool calls of sessions with their last result.
 @query("tool_call_result", """with r as (select distinct row_id, session_id, file, line_no, json_extract_string(payload, '$.type') as type, json_extract_string(payload, '$.call_id') as call_id, json_extract_string(payload, '$.output') as output
    from codex_session where type = 'response_item' and session_id is not null and json_valid(payload)),
