@@ -226,6 +226,14 @@ def test_dedup_of_many_copies(spark):
     assert pairs.count() == 2999 and pairs.select("entry_id_a").distinct().count() == 1
 
 
+def test_latest_batch_after_null_batches(spark):
+    rows = [(1, None, "aa"), (2, 1, "bb"), (3, 2, "aa"), (4, 2, "bb")]
+    df = spark.createDataFrame([(i, b, h, None, 1, [i]) for i, b, h in rows], "entry_id long, batch_no long, source_hash string, redacted_hash string, lines long, line_hashes array<bigint>")
+    pairs = lambda d: {tuple(x) for x in dedup.latest_batch(d).collect()}
+    assert pairs(df) == {(1, 3), (2, 4)}
+    assert pairs(df.withColumn("batch_no", F.lit(None).cast("long"))) == {(1, 3), (2, 4)}
+
+
 # P8
 
 
