@@ -295,6 +295,13 @@ def test_mix_holds_shares_and_caps(spark):
     assert mix.mixed(d, targets.limit(0)).count() == 0
 
 
+def test_schedule_holds_every_block(spark):
+    quotas = [{"source": "large", "share": 0.9998, "quota": 999_800.0}, {"source": "small", "share": 0.0002, "quota": 200.0}, {"source": "tiny", "share": 1e-12, "quota": 1.0}]
+    slots = mix.schedule(quotas, spark).collect()
+    assert Counter(r.source for r in slots) == {"large": 245, "small": 1, "tiny": 1}
+    assert len({r.slot for r in slots}) == len(slots) == len({(r.source, r.block) for r in slots})
+
+
 # P10
 
 

@@ -73,7 +73,7 @@ def placed(texts: DataFrame, quotas: DataFrame) -> DataFrame:
 
 
 def schedule(quotas: list[dict], spark) -> DataFrame:
-    """(slot, source, block): the golden-ratio schedule of all blocks."""
+    """(slot, source, block): the golden-ratio schedule of all blocks; the few that found no slot stand at the end."""
     blocks = {q["source"]: int(q["quota"] // BLOCK_TOKENS) + 1 for q in quotas}
     n = int(sum(blocks.values()) * 1.05) + 2000
     u = F.expr(f"(id + 0.5D) * {GOLDEN}D % 1")
@@ -89,7 +89,13 @@ def schedule(quotas: list[dict], spark) -> DataFrame:
     inner = F.expr("row_number() over (partition by source, chunk order by id)") - 1
     ranked = slots.withColumn("inner", inner).join(before, ["source", "chunk"]).select(F.col("id").alias("slot"), "source", (F.col("skip") + F.col("inner")).alias("block"))
     limit = spark.createDataFrame([(s, b) for s, b in blocks.items()], "source string, blocks long")
-    return ranked.join(F.broadcast(limit), "source").where("block < blocks").select("slot", "source", "block")
+    found = ranked.join(F.broadcast(limit), "source").where("block < blocks").select("slot", "source", "block")
+    # One row per source.
+    got = {r["source"]: r["n"] for r in counts.groupBy("source").agg(F.sum("n").alias("n")).collect()}
+    missing = sorted((b, s) for s, of in blocks.items() for b in range(got.get(s, 0), of))
+    if not missing:
+        return found
+    return found.unionByName(spark.createDataFrame([(n + i, s, b) for i, (b, s) in enumerate(missing)], "slot long, source string, block long"))
 
 
 MIX = "slot long, source string, doc_id long, pass int, n_tokens long"
