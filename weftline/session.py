@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import tempfile
 import uuid
+import weakref
 import zipfile
 from pathlib import Path
 
@@ -37,12 +39,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests, a laptop) a temporary folder is
-    made and set; a cluster must name a shared one.
+    Only where the session names none and runs in one process (tests, a laptop)
+    a temporary folder is made and set; on a cluster that is an error.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="weftline-")
         spark.conf.set("spark.checkpoint.dir", named)
     if not sc._jsc.sc().getCheckpointDir().isDefined():
@@ -56,15 +60,47 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _hadoop(spark: SparkSession, path: str):  # noqa: ANN202
+    """(file system, path) of the JVM."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def scratch(spark: SparkSession, kind: str = "weftline") -> str:
+    """A new path in the application's own folder of the shared one, which goes when the driver ends."""
+    own = f"{shared_dir(spark).rstrip('/')}/weftline-{spark.sparkContext.applicationId}"
+    if own not in _OWN:
+        fs, at = _hadoop(spark, own)
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+        _OWN.add(own)
+    return f"{own}/{kind}-{uuid.uuid4().hex}"
+
+
+_OWN: set[str] = set()
+_STAGED: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
 def stage(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write ``df`` as a parquet table in the shared folder and read it back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/weftline-{uuid.uuid4().hex}"
+    path = scratch(spark)
     writer = df.write.mode("error")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _STAGED[out] = path
+    return out
+
+
+def unstage(*staged: DataFrame) -> None:
+    """Delete the tables of frames that ``stage`` returned and that nothing reads any more."""
+    for df in staged:
+        path = _STAGED.pop(df, None)
+        if path is not None:
+            fs, at = _hadoop(df.sparkSession, path)
+            fs.delete(at, True)
 
 
 _SHIPPED: set[str] = set()
@@ -80,7 +116,7 @@ def ship(spark: SparkSession) -> None:
     sources = sorted(package.rglob("*.py"))
     name = "weftline-" + hashlib.sha256(b"".join(p.read_bytes() for p in sources)).hexdigest()[:12] + ".zip"
     shared = shared_dir(spark)
-    # The driver serves the file to the executors; the shared folder is preferred where it is a plain one.
+    # The driver serves the file to the executors from where it stands.
     folder = Path(shared.removeprefix("file://")) if shared.startswith(("file:", "/")) else Path(tempfile.mkdtemp())
     folder.mkdir(parents=True, exist_ok=True)
     with zipfile.ZipFile(folder / name, "w", zipfile.ZIP_DEFLATED) as z:
