@@ -4,10 +4,11 @@ Candidate values are read off the places where a literal can stand (after a
 telling name, in a URL's user part, an authorisation header, a command-line
 flag, quotes, a PEM block). Each is described by its character Markov
 likelihood under the corpus, its make-up, the surrounding identifiers and the
-path of its file. A logistic regression is trained on candidates labelled
-weakly by patterns, calibrated on held-out ones, and scores them all; high
-scores are redacted, and only the value's own characters are replaced, so code
-and JSON around it stay valid.
+path of its file. A few narrow patterns label some candidates weakly; a
+logistic regression trained on those, calibrated on held-out ones, scores them
+all, and decides alone on the many that no pattern labels. High scores are
+redacted, and only the value's own characters are replaced, so code and JSON
+around it stay valid.
 
 The corpus is read once: that pass sends the candidates (a few per text at
 most that hold any) and, per batch, a fixed-size table of character pairs.
@@ -18,6 +19,7 @@ from __future__ import annotations
 import base64
 import binascii
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,7 +40,7 @@ THRESHOLD = 0.5
 PREFIX = r"(?:sk-|pk_live_|sk_live_|rk_live_|gh[pousr]_|github_pat_|glpat-|glk-|AKIA|ASIA|xox[abposr]-|hf_|npm_|pypi-|ph[xsc]_|ss_[sp]k_|eyJ|AIza|SG\.|dop_v1_|shpat_|lin_api_)"
 _NAME = r"(?:[Pp]ass(?:w(?:or[dt])?|phrase|wd)?|PASS(?:W(?:OR[DT])?|PHRASE|WD)?|[Pp]wd|PWD|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi_?-?[Kk]ey|API_?KEY|[Pp]rivate_?-?[Kk]ey|PRIVATE_?KEY|[Aa]ccess_?-?[Kk]ey|ACCESS_?KEY|[Cc]redential|CREDENTIAL|_auth|_AUTH|_key|_KEY|[Kk]ennwort)"
 _VALUE = r"[^\s\"'\\,;<>(){}\[\]$`|]"
-NAMED = re.compile(rf"({_NAME}[\w\-]{{0,24}})[\"'\]\\)]{{0,4}}[ \t]{{0,4}}(?::=|=>|=|:)(?:[ \t\"'\\(]|\\n)*({_VALUE}{{6,}})", re.A)
+NAMED = re.compile(rf"({_NAME}[\w\-]{{0,60}})[\"'\]\\)]{{0,4}}[ \t]{{0,4}}(?::=|=>|=|:)(?:[ \t\"'\\(]|\\n)*({_VALUE}{{6,}})", re.A)
 QUOTED = re.compile(r"[\"']([A-Za-z0-9+/=_\-]{14,})(?=\\?[\"'])", re.A)
 KNOWN = re.compile(rf"(?<![A-Za-z0-9_\-])({PREFIX}[A-Za-z0-9_\-.]{{12,}})", re.A)
 URL = re.compile(r"[a-z][a-z0-9+.\-]{1,20}://(?:([^\s:@/\"'\\]*):([^\s@/\"'\\]+)|([^\s:@/\"'\\]{12,}))@", re.A)
@@ -54,7 +56,9 @@ PLACES = {
     "pem": (PEM, "-----BEGIN"), "url": (URL, "://"), "header": (HEADER, " "), "flag": (FLAG, "-"), "user_flag": (USER_FLAG, "-"),
     "login": (LOGIN, "ogin"), "query": (QUERY, "="), "hook": (HOOK, "hook"), "known": (KNOWN, ""), "named": (NAMED, ""), "quoted": (QUOTED, ""),
 }
-_TRIGGERS = {"header": ("Bearer ", "Basic ", "oken ", "Key: ", "key: "), "flag": (" -p ", " -p=", "--p", "--t", "--s", "--a", "--k", "-pw"), "user_flag": (" -u ", "--user"), "query": ("?", "&")}
+_FLAGS = ("p", "pw", "pass", "password", "token", "secret", "api-key", "apikey", "auth", "key")
+#: Literals of which every match of a place has one; texts without them skip its pattern.
+_TRIGGERS = {"header": ("Bearer ", "Basic ", "oken ", "ey: ", "Digest "), "flag": tuple(f"-{n}{end}" for n in _FLAGS for end in " ="), "user_flag": ("-u",), "query": ("?", "&")}
 NEGATIVE = re.compile(r"integrity|checksum|sha\d|request_?id|data:image|public|ssh-|fingerprint|etag|uuid|secretref|_name|_count|max_", re.I)
 PLACEHOLDER = re.compile(r"^[*x.\-_#X]+$|your|redact|placeholder|changeme|example|masked|hidden|dummy|todo|^none$|^null$|^true$|^false$|^AKIAX{6,}|^[A-Z]{0,6}X{8,}|^(.)\1+$|process\.|environ|getenv|vault|\*{3,}|^\[|^<|^%\w+%$", re.I)
 UUID = re.compile(r"^[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}$", re.I)
@@ -79,16 +83,20 @@ class Candidate:
     path: str
 
 
-def file_path(text: str, at: int) -> str:
-    """Path of the file that the position lies in, from the diff header or file_path before it."""
-    found = max((text.rfind(k, 0, at), k) for k in ("\n+++ ", "\n--- ", '"file_path": "'))
-    return text[found[0] : found[0] + 140].strip().split("\n")[0][:120] if found[0] >= 0 else ""
+PATH = re.compile(r"""(?:^|\n)(?:\+\+\+|---) ([^\n]*)|"file_path": ?"([^"\n]*)""")
+
+
+def file_paths(text: str) -> tuple[list[int], list[str]]:
+    """Where the paths of files stand in a text (diff headers, file_path fields), and the paths; each holds up to the next."""
+    found = [(m.end(), m[1] or m[2] or "") for m in PATH.finditer(text)]
+    return [e for e, _ in found], [p for _, p in found]
 
 
 def candidates(text: str) -> list[Candidate]:
     """The candidate values of a text, without overlaps; a more telling place wins over quotes."""
     out: list[Candidate] = []
     taken = bytearray(len(text))
+    paths: tuple[list[int], list[str]] | None = None
     for place, (pattern, need) in PLACES.items():
         if need and need not in text or place in _TRIGGERS and not any(t in text for t in _TRIGGERS[place]):
             continue
@@ -115,7 +123,9 @@ def candidates(text: str) -> list[Candidate]:
                 continue
             taken[span[0] : end] = b"\1" * len(value)
             line = text.rfind("\n", 0, span[0]) + 1
-            out.append(Candidate(span[0], end, place, name, value, text[max(line, span[0] - 60) : span[0]], file_path(text, span[0])))
+            paths = paths or file_paths(text)
+            k = bisect_left(paths[0], span[0] + 1)
+            out.append(Candidate(span[0], end, place, name, value, text[max(line, span[0] - 60) : span[0]], paths[1][k - 1] if k else ""))
     return out
 
 
@@ -151,25 +161,24 @@ def describe(c: Candidate) -> tuple[float, ...]:
 
 
 def weak_label(c: Candidate, x: tuple[float, ...]) -> int:
-    """1 or 0 by pattern, -1 where no pattern is sure."""
+    """1 or 0 where a narrow pattern speaks for or against the value, else -1: that is left to the classifier.
+
+    For: a key block, a provider's prefix, a URL's user part with digits, a
+    password by name with digits. Against: placeholders, ids, dotted names,
+    digests, public material, and letters of one case. Values in quotes,
+    headers, queries, hooks, logins, tokens by name have no label of their own.
+    """
     f = dict(zip(FEATURES, x))
-    if f["placeholder"] or f["uuid"] or f["dotted"] or f["only_digits"]:
-        return 0
-    if c.place == "pem" or f["prefix"] and len(c.value) >= 16:
+    if c.place == "pem":
         return 1
-    if c.place in ("url", "user_flag", "login", "hook") or c.place == "header" and len(c.value) >= 12:
-        return 0 if f["no_digit"] else 1
-    if f["negative"] or f["no_digit"]:
+    if f["placeholder"] or f["uuid"] or f["dotted"] or f["only_digits"]:
         return 0
-    if f["hex"] and not f["key_name"]:
+    if f["prefix"]:
+        return 1 if len(c.value) >= 16 else -1
+    if f["negative"] or f["hex"] and not f["key_name"] or f["no_digit"] and max(f["lower"], f["upper"]) == 1:
         return 0
-    if f["password_name"] and c.place in ("named", "flag"):
-        return 1
-    if f["mixed"] and len(c.value) >= 16 and (f["key_name"] or c.place in ("query", "flag")):
-        return 1
-    if c.place == "quoted" and len(c.value) >= 24 and c.before.rstrip("\\\"'").rstrip().endswith("="):
-        return 1
-    return -1
+    strong = c.place == "url" or f["password_name"] and c.place in ("named", "flag")
+    return 1 if strong and not f["no_digit"] and len(c.value) >= 8 else -1
 
 
 PAIRS = 96 * 96
@@ -178,6 +187,7 @@ KEYS = ("tbl", "id", "turn_no", "call_no", "field")
 
 
 def _codes(text: str) -> np.ndarray:
+    """Printable ASCII as 0 to 94, all else as 95."""
     a = np.frombuffer(text.encode("latin-1", "replace"), np.uint8).astype(np.int32) - 32
     return np.where((a < 0) | (a >= 95), 95, a)
 
@@ -202,7 +212,7 @@ def scan(texts: DataFrame) -> DataFrame:
             for *key, text in zip(*cols):
                 for c in candidates(text) if text else ():
                     x = describe(c)
-                    out.append((0, *key, c.place, c.start, c.end, c.value[:4096] if c.place != "pem" else "", weak_label(c, x), list(x), None))
+                    out.append((0, *key, c.place, c.start, c.end, c.value, weak_label(c, x), list(x), None))
             rows = list(zip(*out)) or [()] * len(types)
             yield pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(rows, types)], names=names)
         last = (1, None, None, None, None, None, None, None, None, None, None, None, total.tolist())
@@ -223,21 +233,31 @@ def likelihood(value: str, table: np.ndarray) -> float:
     return float(table[a[:-1] * 96 + a[1:]].mean()) if len(a) > 1 else 0.0
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 400, ridge: float = 1e-3) -> np.ndarray:
-    """Logistic regression by gradient descent on class-balanced weights; standardised inside."""
-    mean, dev = x.mean(axis=0), x.std(axis=0)
-    dev[dev < 1e-9] = 1
-    mean[0], dev[0] = 0, 1
-    z = (x - mean) / dev
-    share = np.where(y == 1, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6)) / len(y)
-    w, speed = np.zeros(x.shape[1]), np.zeros(x.shape[1])
+# What one knows of the features before any data; features that the labels do not tell apart keep these weights.
+PRIOR = {
+    "bias": -3, "mixed": 2, "prefix": 4, "password_name": 2, "key_name": 2, "placeholder": -8, "no_digit": -4, "negative": -5, "uuid": -6, "dotted": -5, "only_digits": -6, "hex": -2,
+    "pem": 8, "url": 4, "user_flag": 4, "login": 4, "header": 4, "hook": 6, "query": 2, "flag": 2,
+}
+
+
+def fit(x: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge: float = 1.0, rounds: int = 100) -> np.ndarray:
+    """Logistic regression drawn to ``prior`` by a ridge, classes weighing alike; Newton's method.
+
+    Without rows it is the prior, with few it stays near it, with many the rows decide.
+    """
+    w = prior.astype(float).copy()
+    positive = float(y.sum())
+    weight = np.where(y == 1, len(y) / (2 * max(positive, 1)), len(y) / (2 * max(len(y) - positive, 1)))
     for _ in range(rounds):
-        g = z.T @ (share * (1 / (1 + np.exp(-np.clip(z @ w, -30, 30))) - y)) + ridge * np.r_[0, w[1:]]
-        speed = 0.9 * speed - 0.5 * g
-        w = w + speed
-    out = w / dev
-    out[0] -= float((w[1:] * mean[1:] / dev[1:]).sum())
-    return out
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (weight * (p - y)) + ridge * (w - prior)
+        curve = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        step = np.linalg.solve(curve, slope)
+        longest = float(np.abs(step).max())
+        w = w - step * min(1.0, 5 / max(longest, 1e-12))
+        if longest < 1e-8:
+            break
+    return w
 
 
 @dataclass(frozen=True)
@@ -258,35 +278,31 @@ class Model:
 def train(found: DataFrame, rows: int = TRAINING_ROWS) -> Model:
     """The model from scanned candidates: Markov table over all texts, weights from a bounded labelled sample.
 
-    Without both labels in the sample (tiny tables) a prior by the weak labels' own signs is used.
+    A fifth of the labelled values, by hash, is held out and calibrates the
+    scores (Platt). Both fits are drawn to a prior, so a table with few or no
+    labelled candidates goes the same way.
     """
     # One fixed-size row per task of the scan.
     counts = found.where("row = 1").select(F.posexplode("counts").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).toPandas()
     table = np.zeros(PAIRS)
     table[counts["k"].to_numpy(int)] = counts["n"].to_numpy(float)
     table = markov(table)
-    labelled = found.where("row = 0 and label >= 0").select("value", "label", "x", F.pmod(F.xxhash64("value", *KEYS), F.lit(1_000_000)).alias("h"))
+    labelled = found.where("row = 0 and label >= 0").select("value", "label", "x", F.pmod(F.xxhash64("value", *KEYS), F.lit(1_000_000)).alias("h"), (F.pmod(F.xxhash64("value"), F.lit(5)) == 0).alias("held"))
     share = rows / max(labelled.count(), 1)
     sample = (labelled.where(F.col("h") < int(share * 1_000_000)) if share < 1 else labelled).toPandas()
-    prior = np.zeros(len(FEATURES))
-    for name, w in {"bias": -3, "mixed": 2, "prefix": 4, "password_name": 2, "key_name": 2, "placeholder": -8, "no_digit": -4, "negative": -5, "uuid": -6, "dotted": -5, "only_digits": -6, "hex": -2, "pem": 8, "url": 4, "user_flag": 4, "login": 4, "header": 4, "hook": 6, "query": 2, "flag": 2}.items():
-        prior[FEATURES.index(name)] = w
-    if len(sample) < 200 or sample["label"].nunique() < 2:
-        return Model(table, prior)
-    x, y, values = np.array(sample["x"].tolist()), sample["label"].to_numpy(float), sample["value"].tolist()
-    x[:, 1] = [likelihood(v, table) for v in values]
-    held = np.arange(len(y)) % 5 == 0
-    weights = fit(x[~held], y[~held])
+    # In a fixed order, so that sums do not depend on how the files were split.
+    sample = sample.sort_values(["value", "label"]).reset_index(drop=True)
+    prior = np.array([float(PRIOR.get(n, 0)) for n in FEATURES])
+    x, y = np.array(sample["x"].tolist()).reshape(len(sample), len(FEATURES)), sample["label"].to_numpy(float)
+    x[:, 1] = [likelihood(v, table) for v in sample["value"]]
+    held = sample["held"].to_numpy(bool)
+    weights = fit(x[~held], y[~held], prior)
     raw = x[held] @ weights
     # Platt's targets keep the calibration finite where the classes separate.
     pos, neg = y[held].sum(), (1 - y[held]).sum()
     target = np.where(y[held] == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    a, b = 1.0, 0.0
-    for _ in range(300):
-        p = 1 / (1 + np.exp(-np.clip(a * raw + b, -30, 30)))
-        a -= 0.05 * float(((p - target) * raw).mean())
-        b -= 0.05 * float((p - target).mean())
-    return Model(table, weights, max(a, 0.1), b)
+    shift, scale = fit(np.c_[np.ones(len(raw)), raw], target, np.array([0.0, 1.0]), ridge=10.0) if len(raw) else (0.0, 1.0)
+    return Model(table, weights, max(float(scale), 0.1), float(shift))
 
 
 def texts_of(records: DataFrame, documents: DataFrame) -> DataFrame:
@@ -329,7 +345,7 @@ def redact_text(text: str | None, model: Model, threshold: float = THRESHOLD, ma
     if not found:
         return text
     x = np.array([describe(c) for c in found])
-    keep = model.score(x, [c.value[:4096] if c.place != "pem" else "" for c in found]) >= threshold
+    keep = model.score(x, [c.value for c in found]) >= threshold
     out, at = [], 0
     for c in sorted((c for c, k in zip(found, keep) if k), key=lambda c: c.start):
         # A key block keeps its line ends, so that the lines around it stay where they are.
@@ -339,7 +355,11 @@ def redact_text(text: str | None, model: Model, threshold: float = THRESHOLD, ma
 
 
 def redacted(records: DataFrame, documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(tbl, id, turn_no, call_no, field, text): the changed field values with their secrets replaced."""
+    """(tbl, id, turn_no, call_no, field, text): the changed field values with their secrets replaced.
+
+    The texts are scanned a second time, map-side, rather than joined with
+    their spans: that would send every text through a shuffle.
+    """
     texts = texts_of(records, documents)
     model = train(stage(scan(texts)))
 
