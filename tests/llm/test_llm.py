@@ -266,8 +266,8 @@ def test_trie_on_odd_texts(public):
 
 
 def test_encoder_starts_afresh_at_its_bounds(public, monkeypatch):
-    monkeypatch.setattr(tokens, "MAX_NODES", 50)
     monkeypatch.setattr(tokens, "MAX_SEGMENTS", 20)
+    monkeypatch.setattr(tokens, "MAX_PAIRS", 50)
     coder = tokens.TrieEncoder(tokens.vocabulary_path())
     for i in range(200):
         t = f"some words number{i} and {i * 37} more"

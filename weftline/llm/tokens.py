@@ -1,11 +1,14 @@
 """Encoding of a whole corpus with a public byte-level BPE tokenizer.
 
-Distinct words go into a trie in sorted (depth-first) order. Each node carries
-the last token of the encoding of the prefix that ends there, so a prefix that
-many words share is encoded once; following the last tokens back spells out
-any word's encoding. The last token at a node is the one vocabulary suffix
-that is *compatible* with the last token of what precedes it, that is, BPE run
-over the two tokens' bytes leaves exactly these two.
+The distinct words of a batch of texts form a trie that is walked depth-first.
+Each node carries the last token of the encoding of the prefix that ends
+there, so a prefix that many words share is encoded once; following the last
+tokens back spells out any word's encoding. The last token at a node is the
+one vocabulary suffix that is *compatible* with the last token of what
+precedes it, that is, BPE run over the two tokens' bytes leaves exactly these
+two. In sorted order the walk needs only the states of the path it stands on,
+so the trie is as deep as the longest word and no wider: words of any length
+and number go through it.
 
 Texts are cut before white space first. No token of the pattern joins a
 non-space with a following space, so such segments encode independently, and a
@@ -14,14 +17,16 @@ worker keeps the ids of segments it has met.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 
 TOKENIZERS = os.environ.get("WEFTLINE_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.json"
@@ -31,8 +36,8 @@ SPACE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 SEGMENTS = re.compile(rf"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 
-#: Bounds of a worker's memory; beyond them it starts afresh, which changes no result.
-MAX_NODES, MAX_SEGMENTS, LONG = 600_000, 300_000, 400
+#: Bounds of what a worker remembers of earlier batches; beyond them it is forgotten and computed again, with the same result.
+MAX_SEGMENTS, MAX_PAIRS, LONG = 300_000, 1_000_000, 400
 
 
 def byte_letters() -> dict[str, int]:
@@ -43,11 +48,13 @@ def byte_letters() -> dict[str, int]:
 
 
 class TrieEncoder:
-    """Trie of words with the last token of every prefix."""
+    """Depth-first walk over a trie of words with the last token of every prefix, for a vocabulary (file or its bytes)."""
 
-    def __init__(self, path: str) -> None:
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+    def __init__(self, vocabulary: str | bytes) -> None:
+        if isinstance(vocabulary, str):
+            with open(vocabulary, "rb") as f:
+                vocabulary = f.read()
+        model = json.loads(vocabulary)["model"]
         letter = byte_letters()
         spell = lambda token: bytes(letter[c] for c in token)
         self.ids: dict[bytes, int] = {}
@@ -68,13 +75,6 @@ class TrieEncoder:
                 self.reach[token[-2:]] = n
         self.checked: dict[tuple[int, int], bool] = {}
         self.segments: dict[str, bytes] = {}
-        self.clear()
-
-    def clear(self) -> None:
-        self.words: dict[str, bytes] = {}
-        self.child: dict[int, int] = {}
-        self.last: list[int] = [-1]
-        self.back: list[int] = [0]
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether BPE leaves the neighbours ``a`` and ``b`` unmerged.
@@ -100,83 +100,81 @@ class TrieEncoder:
                 limit, x = x, self.parts[x][1]
             else:
                 break
-        if len(self.checked) > 1_000_000:
+        if len(self.checked) > MAX_PAIRS:
             self.checked.clear()
         self.checked[a, b] = ok
         return ok
 
-    def _state(self, word: bytes, depth: int, path: list[int], last: list[int]) -> tuple[int, int]:
-        """Last token of ``word[:depth]`` and the path position it starts from."""
+    def _state(self, word: bytes, depth: int, last: list[int]) -> tuple[int, int]:
+        """Last token of ``word[:depth]`` and the depth it starts from; ``last`` has the tokens of all shorter prefixes."""
         ids = self.ids
         for n in range(min(depth, self.reach.get(word[max(0, depth - 2) : depth], 1)), 0, -1):
             token = ids.get(word[depth - n : depth])
-            if token is not None and (n == depth or self.compatible(last[path[depth - n]], token)):
+            if token is not None and (n == depth or self.compatible(last[depth - n], token)):
                 return token, depth - n
         raise ValueError("no token ends here")
 
-    def encode_word(self, word: bytes) -> list[int]:
-        """Ids of one word; its new prefixes join the trie (very long words pass by)."""
-        if len(word) <= LONG:
-            child, last, back, path = self.child, self.last, self.back, [0]
-            for depth in range(1, len(word) + 1):
-                key = path[-1] << 8 | word[depth - 1]
-                node = child.get(key)
-                if node is None:
-                    token, start = self._state(word, depth, path, last)
-                    node = child[key] = len(last)
-                    last.append(token)
-                    back.append(path[start])
-                path.append(node)
-        else:
-            last, back, path = [-1], [0], [*range(len(word) + 1)]
-            for depth in range(1, len(word) + 1):
-                token, start = self._state(word, depth, path, last)
+    def walk(self, words: Iterable[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """(word, ids) of distinct words, in the order of the trie's depth-first walk; ids as little-endian 32-bit integers."""
+        last, start, before = [-1], [0], b""
+        for word in sorted(words):
+            shared, most = 0, min(len(word), len(before))
+            while shared < most and word[shared] == before[shared]:
+                shared += 1
+            del last[shared + 1 :], start[shared + 1 :]  # back up to the node where the words part
+            for depth in range(shared + 1, len(word) + 1):
+                token, begins = self._state(word, depth, last)
                 last.append(token)
-                back.append(start)
-        out, at = [], path[-1]
-        while at:
-            out.append(last[at])
-            at = back[at]
-        return out[::-1]
-
-    def encode_segment(self, segment: str) -> bytes:
-        words, out = self.words, []
-        for w in WORDS.findall(segment):
-            ids = words.get(w)
-            if ids is None:
-                ids = b"".join([i.to_bytes(4, "little") for i in self.encode_word(w.encode("utf-8", "surrogatepass"))])
-                if len(w) <= LONG:
-                    words[w] = ids
-            out.append(ids)
-        return b"".join(out)
-
-    def encode(self, text: str | None) -> bytes:
-        """The ids of a text as little-endian 32-bit integers; none for null and empty texts."""
-        if not text:
-            return b""
-        known, parts = self.segments, SEGMENTS.findall(text)
-        try:
-            return b"".join(map(known.__getitem__, parts))
-        except KeyError:
-            pass
+                start.append(begins)
+            out, at = [], len(word)
+            while at:
+                out.append(last[at].to_bytes(4, "little"))
+                at = start[at]
+            yield word, b"".join(reversed(out))
+            before = word
+
+    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit integers; none for null and empty texts."""
+        known = self.segments
+        cut = [SEGMENTS.findall(t) if t else () for t in texts]
+        new = {s for parts in cut for s in parts if s not in known}
+        if new:
+            spelt = {s: WORDS.findall(s) for s in new}
+            words = {w: w.encode("utf-8", "surrogatepass") for parts in spelt.values() for w in parts}
+            ids = dict(self.walk(set(words.values())))
+            fresh = {s: b"".join([ids[words[w]] for w in parts]) for s, parts in spelt.items()}
+            known.update(fresh)
+        out = [b"".join(map(known.__getitem__, parts)) for parts in cut]
         if len(known) > MAX_SEGMENTS:
             known.clear()
-        if len(self.last) > MAX_NODES:
-            self.clear()
-        long: dict[str, bytes] = {}
-        for s in sorted(set(parts).difference(known)):  # sorted: the trie grows depth-first
-            (known if len(s) <= LONG else long)[s] = self.encode_segment(s)
-        return b"".join([long[s] if len(s) > LONG else known[s] for s in parts])
+        for s in new:
+            if len(s) > LONG:
+                known.pop(s, None)
+        return out
+
+    def encode(self, text: str | None) -> bytes:
+        return self.encode_batch([text])[0]
 
 
 _ENCODERS: dict[str, TrieEncoder] = {}
+_SENT: dict[tuple[str, str], tuple[str, Broadcast]] = {}
+
+
+def encoder(digest: str, vocabulary: Broadcast) -> TrieEncoder:
+    """This process's encoder for a vocabulary that was sent to it."""
+    if digest not in _ENCODERS:
+        _ENCODERS[digest] = TrieEncoder(vocabulary.value)
+    return _ENCODERS[digest]
 
 
-def encoder(path: str) -> TrieEncoder:
-    """This process's encoder for a vocabulary file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = TrieEncoder(path)
-    return _ENCODERS[path]
+def send_vocabulary(spark: SparkSession, path: str) -> tuple[str, Broadcast]:
+    """(digest, broadcast) of a vocabulary file (some MB), read on the driver; workers need no path."""
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _SENT:
+        with open(path, "rb") as f:
+            data = f.read()
+        _SENT[key] = hashlib.sha256(data).hexdigest(), spark.sparkContext.broadcast(data)
+    return _SENT[key]
 
 
 def vocabulary_path(tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> str:
@@ -190,12 +188,12 @@ def encode_documents(documents: DataFrame, path: str | None = None) -> DataFrame
     partition (no shuffle), repeated doc_ids included. Strings that look like
     special tokens are ordinary text.
     """
-    path = path or vocabulary_path()
+    sent = send_vocabulary(documents.sparkSession, path or vocabulary_path())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path)
+        coder = encoder(*sent)
         for batch in batches:
-            encoded = [coder.encode(t) for t in batch.column(1).to_pylist()]
+            encoded = coder.encode_batch(batch.column(1).to_pylist())
             ends = [0]
             for e in encoded:
                 ends.append(ends[-1] + len(e) // 4)
@@ -209,14 +207,14 @@ def encode_documents(documents: DataFrame, path: str | None = None) -> DataFrame
 
 def count_tokens(texts: DataFrame, path: str | None = None) -> DataFrame:
     """``texts`` with its last column, the text, replaced by ``n_tokens`` (0 for null and empty)."""
-    path = path or vocabulary_path()
+    sent = send_vocabulary(texts.sparkSession, path or vocabulary_path())
     *keep, text = texts.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields[:-1]) + ", n_tokens long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path)
+        coder = encoder(*sent)
         for batch in batches:
-            counts = [len(coder.encode(t)) // 4 for t in batch.column(len(keep)).to_pylist()]
+            counts = [len(ids) // 4 for ids in coder.encode_batch(batch.column(len(keep)).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts, pa.int64())], names=[*keep, "n_tokens"])
 
     return texts.mapInArrow(run, schema)
