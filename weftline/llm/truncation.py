@@ -5,9 +5,11 @@ limits; it is fitted by maximum likelihood (EM for censored observations). At
 a candidate limit the fit says how many texts would end there by themselves,
 and so how likely a text of that length was cut. That posterior is the prior
 to which the evidence of the ending is added: no final newline, a hunk with
-lines missing, and how a line of that kind usually ends in the corpus. What
-endings of cut texts look like is learned from texts at limits, what whole
-ones look like from texts that end with a newline.
+lines missing, and how a line of that kind usually ends in the corpus. How
+much each of these weighs is learned by EM over the pooled counts, starting
+from texts at limits (cut) and texts that end with a newline (whole); weak
+priors stand for what a small table does not show. The rate of cuts and the
+habit of ending without a newline are then learned source by source.
 
 One Arrow pass reads the texts and sends a row of features per document and
 counts of line endings per batch; everything after works on those.
@@ -34,8 +36,6 @@ SENTENCE = frozenset(".。!?！？")
 LIST_ITEM = re.compile(r"\s*[-*#+]\s")
 TRAILER = re.compile(r"[A-Z][A-Za-z-]+: ")
 FIELD = re.compile(r"[\w.-]+ ?[=:] ?\S")
-#: Last words that show nothing by their end: ids, keys, addresses with digits in them.
-OPAQUE = re.compile(r"(?=\S*\d)(?=\S*[^\W\d_])\S{12,}$")
 FACTS = "row int, doc_id long, source string, n_chars long, n_bytes long, nl boolean, hunk string, a string, b string, n long"
 
 
@@ -48,20 +48,33 @@ def kind_of(line: str, first: bool) -> str:
     if LIST_ITEM.match(line):
         return "item"
     if TRAILER.match(line):
-        return line[: line.index(":")][:24]
+        return line[: line.index(":")]
     return "field" if FIELD.match(line) else "prose"
 
 
+def opaque(word: str) -> bool:
+    """Whether a word shows nothing by its end: ids, keys, addresses with digits in them."""
+    return len(word) >= 12 and any(c.isdigit() for c in word) and any(c.isalpha() for c in word)
+
+
+def last_runs(line: str) -> list[str]:
+    """The last two runs of letters, digits, blanks or one sign, whole; only as much of the line is read as they take."""
+    size = 80
+    while True:
+        runs = RUN.findall(line[-size:])
+        if len(runs) > 2 or size >= len(line):
+            return runs[-2:]
+        size *= 8
+
+
 def tails(line: str, kind: str) -> tuple[str, str]:
     """The last two runs and the last run of a line, digits as 9; sentence ends and opaque words stand alone."""
-    word = line[-200:].rpartition(" ")[2]
-    if line[-1:] in SENTENCE or OPAQUE.search(word):
-        tail = f"{kind}\t{'.' if line[-1:] in SENTENCE else '*'}"
+    last = line[-1:]
+    if last in SENTENCE or not last.isspace() and opaque(line[max(line.rfind(" "), line.rfind("\t")) + 1 :]):
+        tail = f"{kind}\t{'.' if last in SENTENCE else '*'}"
         return tail, tail
-    runs = RUN.findall(line[-80:])
-    runs = ["9" if r.isdigit() else " " if r.isspace() else r for r in runs[-2:]]
-    last = runs[-1] if runs else ""
-    return f"{kind}\t{''.join(runs)}", f"{kind}\t{last}"
+    runs = ["9" if r.isdigit() else " " if r.isspace() else r for r in last_runs(line)]
+    return f"{kind}\t{''.join(runs)}", f"{kind}\t{runs[-1] if runs else ''}"
 
 
 def read_text(text: str, endings: Counter) -> tuple[bool, str, str, str]:
@@ -141,10 +154,21 @@ def fit_censored(x: np.ndarray, n: np.ndarray, cut: np.ndarray, rounds: int = 60
     return mu, sd
 
 
+#: Log odds, beyond the number of lengths looked at, by which a limit stands out.
+STANDS_OUT = 12.0
+
+
+def _surprise(seen: float, rate: float) -> float:
+    """Chernoff's bound: minus the log probability that a Poisson count of ``rate`` reaches ``seen``; 0 if it is not above it."""
+    return seen * math.log(seen / rate) - seen + rate if seen > rate else 0.0
+
+
 def _limits(rows: pd.DataFrame) -> pd.DataFrame:
     """Limits of one source from (unit, size, nl, n): lengths that stand out, whose texts end without newline, with the fit's posterior.
 
-    In bytes a limit is a window of four: a cut keeps whole characters.
+    In bytes a limit is a window of four: a cut keeps whole characters. How
+    many texts stand out is tested against the Poisson rate of the lengths
+    around, over all lengths of the source, not against a count.
     """
     out = []
     for unit, part in rows.groupby("unit"):
@@ -156,13 +180,11 @@ def _limits(rows: pd.DataFrame) -> pd.DataFrame:
         at = lambda c, lo, hi: c[np.searchsorted(size, hi, "right")] - c[np.searchsorted(size, lo, "left")]
         found = []
         for s, here in zip(size, count):
-            if here < 5:
-                continue
             mass, unended = at(cum, s - width + 1, s), at(cumo, s - width + 1, s)
             around = max(at(cum, s - 60, s - width) / (60 - width + 1), at(cum, s + 1, s + 60) / 60, 0.02)
             # A limit leaves few longer texts (an ellipsis or converted line ends may add to it).
             longer = cum[-1] - cum[np.searchsorted(size, s + 3, "right")]
-            if longer <= 2 * mass and unended >= 0.9 * mass and here >= 5 + 8 * around and unended >= 5 + 8 * around * width:
+            if longer <= 2 * mass and unended >= 0.9 * mass and min(_surprise(here, around), _surprise(unended, around * width)) >= STANDS_OUT + math.log(len(size)):
                 found.append((s, mass))
         found = [f for f in found if not any(0 < o[0] - f[0] < width for o in found)]
         if not found:
@@ -193,56 +215,116 @@ def _bucket(c: str) -> Column:
     return F.when(F.col(c) == 0, 0).when(F.col(c) <= 2, 1).when(F.col(c) <= 9, 2).otherwise(3)
 
 
-def _score(combos: pd.DataFrame) -> pd.DataFrame:
-    """Posterior of each feature combination; EM over the cut rate and newline habit of each source.
+HUNKS, SEEN = ("none", "closed", "open"), (0, 1, 2, 3, 9)
+# What endings look like before any data: by how often the corpus ends lines so (never, once or twice, up to nine times, more; in a hunk).
+CUT_TAIL = {0: 0.5, 1: 0.2, 2: 0.12, 3: 0.08, 9: 0.1}
+WHOLE_TAIL = {0: 0.07, 1: 0.18, 2: 0.25, 3: 0.45, 9: 0.05}
+CUT_HUNK = {"none": 0.6, "closed": 0.1, "open": 0.3}
+WHOLE_HUNK = {"none": 0.7, "closed": 0.2999, "open": 0.0001}
+CUT_NEWLINE = 0.01
+#: Weight of these priors, in texts.
+PRIOR_TEXTS = 20.0
+
+
+def _odds(p: np.ndarray) -> np.ndarray:
+    p = np.clip(p, 1e-9, 1 - 1e-9)
+    return np.log(p / (1 - p))
 
-    Weights of tails and hunks come from labelled texts: at a limit (cut) and
-    ending with a newline below it (whole).
+
+def ending_weights(pooled: pd.DataFrame) -> pd.DataFrame:
+    """Log likelihood ratios (cut against whole) of the endings, and what they rest on: (nl, hunk, s2, s1, ratio, usual, newline).
+
+    ``usual`` is the share of an ending among the whole texts of all sources,
+    ``newline`` how often a cut text ends with a newline all the same.
+
+    ``pooled`` counts (nl, hunk, s2, s1, censored) over all sources, at most a
+    few thousand rows. EM: the cut texts are those at limits as far as the
+    limit's posterior says, those that end with a newline and no open hunk
+    below a limit are whole; the others take part by their posterior.
     """
-    c = combos.copy()
-    c["tail"] = c["s2"].astype(str) + c["s1"].astype(str)
-    cut = c[(c["censored"] > 0.9) & ~c["nl"]]
-    whole = c[(c["censored"] == 0) & c["nl"] & (c["hunk"] != "open")]
-
-    # Without limits in the table nothing teaches the tails of cuts; then an unseen tail counts as such.
-    if cut["n"].sum() >= 20 and whole["n"].sum() >= 20:
-        kinds = max(c["tail"].nunique(), 2)
-        a, b = cut.groupby("tail")["n"].sum(), whole.groupby("tail")["n"].sum()
-        p = (a.reindex(c["tail"], fill_value=0).to_numpy() + 0.5) / (a.sum() + 0.5 * kinds)
-        pooled = (b.reindex(c["tail"], fill_value=0).to_numpy() + 0.5) / (b.sum() + 0.5 * kinds)
-        # Whole endings of the own source, drawn to those of all sources where it has few.
-        own = whole.groupby(["source", "tail"])["n"].sum().reindex(pd.MultiIndex.from_frame(c[["source", "tail"]]), fill_value=0).to_numpy()
-        size = whole.groupby("source")["n"].sum().reindex(c["source"], fill_value=0).to_numpy()
-        seen = a.reindex(c["tail"], fill_value=0).to_numpy() + b.reindex(c["tail"], fill_value=0).to_numpy()
-        tail = pd.Series(np.log(p * (size + 20) / (own + 20 * pooled)) * seen / (seen + 3), index=c.index)
-    else:
-        tail = c["s2"].map({0: 2.0, 1: 0.0, 2: -1.5, 3: -3.0, 9: 1.0}) + c["s1"].map({0: 2.0, 1: 0.0, 2: -0.5, 3: -1.0, 9: 1.0})
-    tail = tail.where(c["hunk"] != "open", 0.0).clip(-7, 7)
-    hunk = np.where(c["hunk"] == "open", 9.0, 0.0)
-    post = np.zeros(len(c))
-    for _source, rows in c.groupby("source"):
-        i = rows.index.to_numpy()
-        n, nl, lim = rows["n"].to_numpy(float), rows["nl"].to_numpy(bool), rows["censored"].to_numpy(float)
+    c = pooled.copy()
+    n, nl, lim = c["n"].to_numpy(float), c["nl"].to_numpy(bool), c["censored"].to_numpy(float)
+    opened = (c["hunk"] == "open").to_numpy()
+    tail = c["s2"].to_numpy() * 10 + c["s1"].to_numpy()
+    first = np.where(lim > 0, np.where(nl, 0.0, lim), np.where(opened, 0.9, np.where(nl, 0.0, 0.02)))
+    settled = (lim > 0.9) & ~nl | (lim == 0) & nl & ~opened
+    kinds = [a * 10 + b for a in SEEN for b in SEEN]
+    prior_cut = np.array([CUT_TAIL[a] * CUT_TAIL[b] for a in SEEN for b in SEEN])
+    prior_whole = np.array([WHOLE_TAIL[a] * WHOLE_TAIL[b] for a in SEEN for b in SEEN])
+    prior = np.log(prior_cut / prior_whole)
+    at, hunk_at = np.searchsorted(kinds, tail), c["hunk"].map({h: i for i, h in enumerate(HUNKS)}).to_numpy(int)
+    p = first
+    for _ in range(50):
+        cut, whole = n * p, n * (1 - p)
+        k = PRIOR_TEXTS
+        hunk_cut = (np.bincount(hunk_at, cut, 3) + k * np.array([CUT_HUNK[h] for h in HUNKS])) / (cut.sum() + k)
+        hunk_whole = (np.bincount(hunk_at, whole, 3) + k * np.array([WHOLE_HUNK[h] for h in HUNKS])) / (whole.sum() + k)
+        newline = (float(cut[nl].sum()) + k * CUT_NEWLINE) / (cut.sum() + k)
+        # Endings in hunks show by the hunk, the others by the line; of those seldom seen the prior says more.
+        line_cut, line_whole = np.bincount(at[~opened], cut[~opened], len(kinds)), np.bincount(at[~opened], whole[~opened], len(kinds))
+        own = np.log((line_cut + 0.5) / (line_cut.sum() + 0.5 * len(kinds))) - np.log((line_whole + 0.5) / (line_whole.sum() + 0.5 * len(kinds)))
+        trust = (line_cut + line_whole) / (line_cut + line_whole + 3)
+        lines = np.clip(own * trust + prior * (1 - trust), -7, 7)
+        hunks = np.log(hunk_cut / hunk_whole)
+        ratio = np.where(opened, hunks[hunk_at], lines[at])
         free = lim == 0
-        rate, habit = 0.01, 0.05  # cut by a transfer; whole without a newline
-        for _ in range(40):
-            prior = np.where(free, np.log(rate / (1 - rate)), np.log(np.maximum(lim, 1e-9) / (1 - np.minimum(lim, 1 - 1e-9))))
-            end = np.where(nl, math.log(0.01 / (1 - habit)), math.log(0.99 / habit))
-            score = prior + end + tail.to_numpy()[i] + hunk[i]
-            p = 1 / (1 + np.exp(-np.clip(score, -50, 50)))
-            w = n * free
-            rate = float(((w * p).sum() + 1) / (w.sum() + 100))
-            habit = float(((w * (1 - p) * ~nl).sum() + 0.5) / ((w * (1 - p)).sum() + 50))
-        post[i] = p
-    c["posterior"] = post
+        rate = float((cut[free].sum() + 1) / (n[free].sum() + 100)) if free.any() else 0.01
+        habit = float((whole[~nl].sum() + 0.5) / (whole.sum() + 10))
+        score = np.where(free, _odds(np.full(len(n), rate)), _odds(lim)) + np.where(nl, math.log(newline / (1 - habit)), math.log((1 - newline) / habit)) + ratio
+        new = np.where(settled, first, 1 / (1 + np.exp(-np.clip(score, -50, 50))))
+        done, p = np.abs(new - p).max(initial=0.0) < 1e-6, new
+        if done:
+            break
+    every = pd.MultiIndex.from_product([[False, True], HUNKS, SEEN, SEEN], names=["nl", "hunk", "s2", "s1"]).to_frame(index=False)
+    every_at = np.searchsorted(kinds, every["s2"].to_numpy() * 10 + every["s1"].to_numpy())
+    shown = np.where(every["hunk"] == "open", hunks[every["hunk"].map({h: i for i, h in enumerate(HUNKS)}).to_numpy(int)], lines[every_at]) if len(c) else np.zeros(len(every))
+    usual = (line_whole[every_at] + 0.5) / (line_whole.sum() + 0.5 * len(kinds)) if len(c) else np.ones(len(every))
+    return every.assign(ratio=shown, usual=usual, newline=newline if len(c) else CUT_NEWLINE)
+
+
+def _score(rows: pd.DataFrame, weights: pd.DataFrame) -> pd.DataFrame:
+    """Posterior of each feature combination of one source; EM over its cut rate and its habit of ending without a newline."""
+    c = rows.merge(weights, on=["nl", "hunk", "s2", "s1"], how="left")
+    n, nl, lim, ratio, usual, newline = (c[k].to_numpy(t) for k, t in (("n", float), ("nl", bool), ("censored", float), ("ratio", float), ("usual", float), ("newline", float)))
+    free, opened = lim == 0, (c["hunk"] == "open").to_numpy()
+    # The source's own whole endings, drawn to those of all sources where it has few.
+    tail = c["s2"].to_numpy() * 10 + c["s1"].to_numpy()
+    whole = np.bincount(tail, n * (free & nl & ~opened), 100)
+    own = (whole[tail] + PRIOR_TEXTS * usual) / (whole.sum() + PRIOR_TEXTS)
+    ratio = np.where(opened, ratio, np.clip(ratio + np.log(usual / own), -7, 7))
+    # Texts count as whole until their ending speaks against it.
+    rate, habit, p = 0.01, float(((n * free * ~nl).sum() + 0.5) / ((n * free).sum() + 10)), np.zeros(len(c))
+    for _ in range(40):
+        prior = np.where(free, _odds(np.full(len(c), rate)), _odds(lim))
+        end = np.where(nl, np.log(newline / (1 - habit)), np.log((1 - newline) / habit))
+        p = 1 / (1 + np.exp(-np.clip(prior + end + ratio, -50, 50)))
+        w = n * free
+        rate = float(((w * p).sum() + 1) / (w.sum() + 100))
+        habit = float(((w * (1 - p) * ~nl).sum() + 0.5) / ((w * (1 - p)).sum() + 50))
+    c["posterior"] = p
     return c[["source", "nl", "hunk", "s2", "s1", "censored", "posterior"]]
 
 
+#: At most this many endings can each make up more than 1/HOT of all: the size bound of the broadcast.
+HOT = 10_000
+
+
+def _with_count(docs: DataFrame, counts: DataFrame, key: str, name: str) -> DataFrame:
+    """``docs`` with the count ``name`` of their ending ``key``; frequent endings come by broadcast, so no join key is hot."""
+    total = counts.agg(F.sum(name)).first()[0] or 0
+    hot = F.broadcast(counts.where(F.col(name) > total / HOT).withColumnRenamed(name, "hot"))
+    marked = docs.join(hot, key, "left")
+    known = marked.where("hot is not null").withColumnRenamed("hot", name)
+    rest = marked.where("hot is null").drop("hot").join(counts.where(F.col(name) <= total / HOT), key, "left")
+    return known.unionByName(rest)
+
+
 def scored(documents: DataFrame) -> DataFrame:
     """(doc_id, source, n_chars, n_bytes, limit_at, posterior) of every non-empty text.
 
     Null and empty texts are not cut and give no row. The feature combinations
-    that are weighed together number at most a few hundred per source.
+    that are weighed together number at most a few hundred per source; the
+    pooled ones that come to the driver, at most a few thousand.
     """
     rows = stage(features(documents))
     docs = rows.where("row = 0").drop("row", "n")
@@ -257,7 +339,7 @@ def scored(documents: DataFrame) -> DataFrame:
         docs.join(near, "source").where((size <= F.col("limit_at")) & (size > F.col("limit_at") - F.col("width")))
         .groupBy("doc_id").agg(F.max(F.struct("censored", "limit_at")).alias("hit"))
     )
-    full = docs.join(hits, "doc_id", "left").join(two, "a", "left").join(one, "b", "left")
+    full = _with_count(_with_count(docs.join(hits, "doc_id", "left"), two, "a", "c2"), one, "b", "c1")
     # A text's own last line counts towards its ending when it is terminated.
     own = F.when(F.col("nl") & ~F.col("a").startswith("hunk"), 1).otherwise(0)
     full = full.withColumn("c2", F.coalesce("c2", F.lit(0)) - own).withColumn("c1", F.coalesce("c1", F.lit(0)) - own)
@@ -268,7 +350,10 @@ def scored(documents: DataFrame) -> DataFrame:
     keys = ["source", "nl", "hunk", "s2", "s1", "censored"]
     combos = full.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     spec = "source string, nl boolean, hunk string, s2 int, s1 int, censored double, posterior double"
-    weighed = combos.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(_score, spec)
+    # Limits' posteriors count in hundredths when pooled, which bounds the rows.
+    pooled = combos.groupBy("nl", "hunk", "s2", "s1", F.round("censored", 2).alias("censored")).agg(F.sum("n").alias("n")).orderBy("nl", "hunk", "s2", "s1", "censored").toPandas()
+    weights = ending_weights(pooled)
+    weighed = combos.groupBy("source").applyInPandas(lambda rows: _score(rows, weights), spec)
     return full.join(F.broadcast(weighed) if combos.count() <= 100_000 else weighed, keys).select("doc_id", "source", "n_chars", "n_bytes", "limit_at", "posterior")
 
 
