@@ -75,31 +75,61 @@ def test_classifier_on_held_out_labels(spark):
 
 # P2
 
-PEOPLE = personal.Directory(frozenset({("orrin", "fennmere"), ("imke", "tarnstead")}), frozenset({"orrin", "imke"}), frozenset({"fennmere", "tarnstead"}))
+PEOPLE = [("Orrin", "Fennmere"), ("Imke", "Tarnstead")]
+GIVEN = frozenset({"orrin", "imke"})
+TURN = "struct<role:string,timestamp:string,text:string,reasoning:string>"
+ACCOUNT = "handle string, given_name string, family_name string, kind string"
 
-
-@pytest.mark.parametrize("text,want", [
+CASES = [
     ("write to a.b+c (at) mail dot host dot corp please", ["email"]), ("send it to x9 @ host.intra", ["email"]), ("use user@example.com", []), ("clone git@git.h.internal:r.git first", []), ("noreply@bots.test sends it", []),
     ("call +1 (212) 555-0140 now", ["phone"]), ("tel: 030/23125-172", ["phone"]), ("order 4499867830 is a test order", []), ("bind to 203.0.113.119 port 7938", []), ("epoch 1724259355 looks off", []),
     ("ssn=958 36 1615 shows", ["id_number"]), ("NI number QQ 29 87 91 A", ["id_number"]), ("passport no. XS3771377 was", ["id_number"]), ("the regex \\d{3}-\\d{2}-\\d{4} is wrong", []), ("trace a1ef5e56-b53f-40e7-a382-bcd2a7a8a647 has", []),
     ("ship it to 57 Saltpan Street, Apt 15, Brambleford 81826", ["address"]), ("Adresse: Am Alten Stellwerk 20a, 01269 Tarnheim", ["address"]), ("post goes to P.O. Box 8836, Oxcombe Magna 87695", ["address"]), ("row 3: flat 10, 174 larkspur avenue, nettlebridge", ["address"]), ("see section 12b, chapter 1", []),
     ("my name is Orrin Fennmere", ["person"]), ("owner is Fennmere, Orrin", ["person"]), ("cc ORRIN FENNMERE", ["person"]), ("O. Fennmere wants it", ["person"]), ('{"first": "Imke", "last": "Tarnstead"}', ["person"]), ("reviewed by orrin fennmere last week", ["person"]), ("the Copper Heron service owns it", []), ("", []),
-])
-def test_mentions(text, want):
-    assert [m.label for m in personal.mentions(text, PEOPLE) if m.label in personal.KINDS] == want
+]
+
+
+@pytest.fixture(scope="module")
+def decided(spark):
+    """The graph's word on the cases, which stand among the records of a test table."""
+    sf = "/root/testdata/sf0.1"
+    cases = spark.createDataFrame([(f"case{i}", [("user", None, t, None)]) for i, (t, _) in enumerate(CASES)], f"record_id string, turns array<{TURN}>")
+    others = spark.read.parquet(f"{sf}/records.parquet").select("record_id", F.transform("turns", lambda x: F.struct(x["role"], x["timestamp"], x["text"], x["reasoning"])).cast(f"array<{TURN}>").alias("turns"))
+    accounts = spark.read.parquet(f"{sf}/accounts.parquet").select("handle", "given_name", "family_name", "kind").unionByName(spark.createDataFrame([(None, *p, "person") for p in PEOPLE], ACCOUNT))
+    rows = personal.resolved(cases.unionByName(others), accounts).where("record_id like 'case%'").select("record_id", "start", "kind").distinct().collect()
+    return {i: [r.kind for r in sorted(rows, key=lambda r: r.start) if r.record_id == f"case{i}"] for i in range(len(CASES))}
+
+
+@pytest.mark.parametrize("case", range(len(CASES)))
+def test_mentions(decided, case):
+    assert decided[case] == CASES[case][1], CASES[case][0]
 
 
 @pytest.mark.parametrize("text", ["A" * 300_000, "a.b@c.de " * 20_000, "1 2-3 " * 60_000, 'token="aB3dE5gH7jK9mN1pQ3sT" ' * 4_000, "-----BEGIN PRIVATE KEY-----\n" + "QUJD" * 100_000, "a at b @ c " * 20_000, "\n" * 300_000])
 def test_very_long_texts_take_seconds(text):
     began = time.perf_counter()
-    personal.mentions(text, PEOPLE)
+    personal.mentions(text, GIVEN)
+    personal.mentions(text, None)
     credentials.candidates(text)
     truncation.read_text(text, Counter())
     assert time.perf_counter() - began < 20
 
 
+def test_names_met_in_a_join_and_names_of_no_directory(spark):
+    sf = "/root/testdata/sf0.1"
+    records, accounts = spark.read.parquet(f"{sf}/records.parquet"), spark.read.parquet(f"{sf}/accounts.parquet")
+    spans = lambda df: {tuple(r) for r in df.drop("by_graph").distinct().collect()}
+    all_ = spans(personal.resolved(records, accounts))
+    assert spans(personal.resolved(records, accounts, most_names=0)) == all_
+    # Half of the people are taken out of the directory: the graph finds their mentions all the same.
+    half = spans(personal.resolved(records, accounts.where("kind != 'person' or account_id % 2 = 0")))
+    persons = lambda s: {x for x in s if x[-1] == "person"}
+    assert len(persons(half) & persons(all_)) / len(persons(all_)) > 0.95
+    assert len(half - all_) <= 0.02 * len(all_)
+
+
 def test_patterns_discover_unseen_names(spark):
-    turn = "struct<role:string,timestamp:string,text:string,reasoning:string>"
+    turn = TURN
     known = [f"my name is {g} {f} and more" for g, f in (("Orrin", "Fennmere"), ("Imke", "Tarnstead")) for _ in range(6)]
     texts = [*known, "my name is Zuleika Oakmoss and more", "the Copper Heron service owns it", "the Copper Heron service owns it"]
     records = spark.createDataFrame([(str(i), "/w", [("user", None, t, None)]) for i, t in enumerate(texts)], f"record_id string, working_dir string, turns array<{turn}>")
