@@ -60,7 +60,7 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def _hadoop(spark: SparkSession, path: str):  # noqa: ANN202
+def hadoop(spark: SparkSession, path: str):  # noqa: ANN202
     """(file system, path) of the JVM."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
@@ -70,7 +70,7 @@ def scratch(spark: SparkSession, kind: str = "weftline") -> str:
     """A new path in the application's own folder of the shared one, which goes when the driver ends."""
     own = f"{shared_dir(spark).rstrip('/')}/weftline-{spark.sparkContext.applicationId}"
     if own not in _OWN:
-        fs, at = _hadoop(spark, own)
+        fs, at = hadoop(spark, own)
         fs.mkdirs(at)
         fs.deleteOnExit(at)
         _OWN.add(own)
@@ -99,7 +99,7 @@ def unstage(*staged: DataFrame) -> None:
     for df in staged:
         path = _STAGED.pop(df, None)
         if path is not None:
-            fs, at = _hadoop(df.sparkSession, path)
+            fs, at = hadoop(df.sparkSession, path)
             fs.delete(at, True)
 
 
