@@ -85,6 +85,21 @@ def test_items_against_python(spark, sf):
     assert {tuple(x) for x in nested.items_found(spark.read.parquet(f"{sf}/records.parquet")).collect()} == want
 
 
+def test_subtype_tables_are_typed_and_whole(spark, sf, tmp_path):
+    records = spark.read.parquet(f"{sf}/records.parquet")
+    subtypes = nested.Subtypes(records, str(tmp_path / "items"))
+    rows, seen = 0, set()
+    for item, variant in subtypes.variants():
+        t = subtypes.table(item, variant)
+        rows += t.count()
+        seen.add((item, variant))
+        if item == "tool_call" and variant.startswith("nio"):
+            assert dict(t.dtypes)["input"] == "variant"
+        if item != "tool_call":
+            assert {"data"} & set(t.columns) == ({"data"} if "d" in variant else set())
+    assert rows == nested.items_found(records).count() and seen == {(r.item, r.variant) for r in nested.variant_counts(records).collect()}
+
+
 def test_route_writes_subtype_tables(spark, sf, tmp_path):
     nested.route(spark.read.parquet(f"{sf}/records.parquet"), str(tmp_path))
     back = spark.read.parquet(f"{tmp_path}/blocks")
