@@ -173,32 +173,39 @@ def changes(lines: DataFrame, store_fields: DataFrame) -> DataFrame:
 
 
 def _compare(seen: DataFrame, spec: DataFrame) -> DataFrame:
-    """Compare folded files with the baseline. One group per file holds its distinct paths, never its rows."""
-    by_path = F.map_from_entries(F.array_sort(F.collect_list(F.struct("field_path", F.struct("types", "vals")))))
-    files = seen.groupBy("file_id", "store").agg(by_path.alias("seen"))
-    files = files.withColumn("store", F.coalesce("store", F.lit("")))
-    table = spec.groupBy("store").agg(F.map_from_entries(F.collect_list(F.struct("field_path", F.struct("allowed", "required", "known")))).alias("spec"))
-    joined = files.join(table, "store", "left").withColumn("spec", F.coalesce("spec", F.map_from_arrays(F.array(), F.array()).cast("map<string,struct<allowed:int,required:boolean,known:array<string>>>")))
-
-    parsed = joined.select("file_id", "seen", "spec", F.explode(F.array_distinct(F.concat(F.map_keys("seen"), F.map_keys("spec")))).alias("field_path"))
-    parsed = _with_parent(parsed)
-    at, base = F.col("seen")[F.col("field_path")], F.col("spec")[F.col("field_path")]
-    up_seen, up_base = F.col("seen")[F.col("parent")], F.col("spec")[F.col("parent")]
-    looked = (F.col("parent") == "") | F.coalesce(up_seen["types"].bitwiseAND(up_base["allowed"]).bitwiseAND(F.col("container")) != 0, F.lit(False))
-    shown = parsed.where(looked).select("file_id", "field_path", "parent", at.alias("at"), base.alias("base"))
-    shown = shown.withColumn("gone", F.col("at").isNull() & F.coalesce(F.col("base.required"), F.lit(False))).withColumn("new", F.col("base").isNull())
-
-    hit = lambda c: F.collect_list(F.when(F.col(c), F.struct("field_path", F.coalesce("at.types", F.lit(0)).alias("types"), F.coalesce("base.allowed", F.lit(0)).alias("allowed"))))
+    """Compare folded files with the baseline: equi-joins of (file, path) with (store, path) and with the parent's row."""
+    seen = seen.withColumn("store", F.coalesce("store", F.lit("")))
+    at = seen.join(spec, ["store", "field_path"], "left").withColumn("new", F.col("allowed").isNull())
+    # Required paths of the store that the file does not show.
+    needed = seen.select("file_id", "store").distinct().join(spec.where("required").select("store", "field_path", "allowed"), "store")
+    gone = needed.join(seen.select("file_id", "field_path"), ["file_id", "field_path"], "left_anti").select("file_id", "field_path", "allowed", F.lit(True).alias("gone"))
+    rows = at.withColumn("gone", F.lit(False)).select("file_id", "field_path", "types", "vals", "allowed", "known", "new", "gone")
+    rows = _with_parent(rows.unionByName(gone.withColumn("new", F.lit(False)), allowMissingColumns=True))
+    # A path counts below the root, and below baseline paths that the file shows as a container the baseline allows.
+    open_ = at.where(F.col("types").bitwiseAND(F.col("allowed")).bitwiseAND(_BIT["object"] | _BIT["array"]) != 0).select("file_id", F.col("field_path").alias("parent"), F.col("types").bitwiseAND(F.col("allowed")).alias("inside"))
+    shown = rows.join(open_, ["file_id", "parent"], "left").where((F.col("parent") == "") | F.coalesce(F.col("inside").bitwiseAND(F.col("container")) != 0, F.lit(False)))
+
+    hit = lambda c: F.collect_list(F.when(F.col(c), F.struct("field_path", F.coalesce("types", F.lit(0)).alias("types"), F.coalesce("allowed", F.lit(0)).alias("allowed"))))
     moves = shown.where("gone or new").groupBy("file_id", "parent").agg(hit("gone").alias("gone"), hit("new").alias("new"))
     pair = (F.size("gone") == 1) & (F.size("new") == 1) & (F.col("gone")[0]["allowed"].bitwiseAND(F.col("new")[0]["types"]) != 0)
     of = lambda c, change: F.transform(F.col(c), lambda x: F.struct(x["field_path"].alias("field_path"), F.lit(change).alias("change")))
-    moved = moves.select("file_id", F.explode(F.when(pair, of("gone", "renamed")).otherwise(F.concat(of("gone", "removed"), of("new", "added")))).alias("x")).select("file_id", "x.*")
+    moved = F.when(pair, of("gone", "renamed")).otherwise(F.concat(of("gone", "removed"), of("new", "added")))
+    # One pass more over the paths that stay: their type and their values.
+    retyped = F.when(F.col("types").bitwiseAND(F.bitwise_not(F.col("allowed"))) != 0, "retyped")
+    unknown = F.when(F.col("known").isNotNull() & (F.size(F.array_except("vals", "known")) > 0), "new_value")
+    kept = shown.where("not gone and not new").select("file_id", "field_path", F.explode(F.array_compact(F.array(retyped, unknown))).alias("change"))
+    return moves.select("file_id", F.explode(moved).alias("x")).select("file_id", "x.*").unionByName(kept).distinct()
 
-    kept = shown.where("at is not null and base is not null")
-    retyped = kept.where(F.col("at.types").bitwiseAND(F.bitwise_not(F.col("base.allowed"))) != 0).select("file_id", "field_path", F.lit("retyped").alias("change"))
-    unknown = F.col("base.known").isNotNull() & (F.size(F.array_except("at.vals", "base.known")) > 0)
-    new_value = kept.where(unknown).select("file_id", "field_path", F.lit("new_value").alias("change"))
-    return moved.unionByName(retyped).unionByName(new_value).distinct()
+
+def change_log(lines: DataFrame, store_fields: DataFrame) -> DataFrame:
+    """(store, first_seen, file_id, change_no, field_path, change): all changes in order of store, the file's first sight, file and path.
+
+    ``change_no`` counts from 1 within a file. Files never seen at a known time come first.
+    """
+    first = lines.where("file_id is not null").groupBy("file_id").agg(F.min("store").alias("store"), F.min("seen_at").alias("first_seen"))
+    number = F.expr("row_number() over (partition by file_id order by field_path, change)").cast("long")
+    found = changes(lines, store_fields).withColumn("change_no", number)
+    return found.join(first, "file_id").select("store", "first_seen", "file_id", "change_no", "field_path", "change").orderBy("store", "first_seen", "file_id", "change_no")
 
 
 def _folded(lines: DataFrame, exact: bool = False) -> DataFrame:

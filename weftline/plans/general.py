@@ -16,6 +16,7 @@ QUERIES = {
     "p6_variants": lambda s, d: nested.variant_counts(table(s, d, "records")),
     "p7_found": lambda s, d: drift.changes(table(s, d, "raw_lines"), table(s, d, "store_fields")),
     "p7_types": lambda s, d: drift.promoted_types(table(s, d, "raw_lines"), table(s, d, "store_fields")),
+    "p7_log": lambda s, d: drift.change_log(table(s, d, "raw_lines"), table(s, d, "store_fields")),
     "p7_lines": lambda s, d: drift.consistent(table(s, d, "raw_lines")),
 }
 
@@ -44,3 +45,8 @@ SQL["p6_tool_calls"] = f"""select distinct record_id, turn_no::bigint as turn_no
  c.output.text as output_text, c.output.raw as output_raw from {_CALLS}"""
 SQL["p6_variants"] = f"""select item, variant, count(*)::bigint as n from (select distinct record_id, turn_no, item, call_no, item_no, variant from {_BLOCKS}
  union all select distinct record_id, turn_no, 'tool_call', -1, call_no, {_VARIANT} from {_CALLS}) group by 1, 2"""
+
+_PATH = "replace(regexp_replace(substr(t.fullkey, 3), '[[][0-9]+[]]', '[]', 'g'), '\"', '')"
+_KIND = "case t.type when 'VARCHAR' then 'string' when 'OBJECT' then 'object' when 'ARRAY' then 'array' when 'BOOLEAN' then 'boolean' else 'number' end"
+SQL["p7_types"] = f"""with f as (select r.file_id, r.store, {_PATH} as field_path, {_KIND} as kind from raw_lines r, json_tree(r.raw) t where json_valid(r.raw) and left(ltrim(r.raw), 1) = '{{' and t.type <> 'NULL' and t.fullkey <> '$')
+ select store, field_path, case when count(distinct kind) = 1 then min(kind) when count(*) filter (where kind in ('object', 'array')) = 0 then 'string' else 'json' end as cast_to, count(distinct file_id)::bigint as files from f group by 1, 2"""
