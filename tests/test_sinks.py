@@ -47,6 +47,27 @@ def test_isolate_keeps_shape_and_source(spark, tmp_path):
         sinks.isolate(spark, str(tmp_path / "in"), Rules()).collect()
 
 
+def test_images_are_stripped_only_where_the_format_has_them():
+    image = {"type": "image", "source": "x"}
+    line = {"message": {"content": [image, {"type": "tool_result", "content": [image, 1]}, {"type": "tool_use", "input": {"images": ["kept"], "list": [image]}}]}}
+    out = sinks.strip_images(line, "claudecode")["message"]["content"]
+    assert out == [{"type": "tool_result", "content": [1]}, {"type": "tool_use", "input": {"images": ["kept"], "list": [image]}}]
+    item = {"type": "response_item", "payload": {"type": "message", "content": [{"type": "input_image"}, {"type": "input_text"}], "images": ["kept"]}}
+    assert sinks.strip_images(item, "codex")["payload"] == {"type": "message", "content": [{"type": "input_text"}], "images": ["kept"]}
+    event = {"type": "event_msg", "payload": {"type": "user_message", "images": ["x"], "local_images": ["y"], "message": "m"}}
+    assert sinks.strip_images(event, "codex")["payload"] == {"type": "user_message", "message": "m"}
+    call = {"type": "response_item", "payload": {"type": "function_call", "images": ["kept"]}}
+    assert sinks.strip_images(call, "codex") == call and sinks.strip_images({"n": 1}, "codex") == {"n": 1}
+
+
+def test_isolate_takes_native_formats_only_and_a_hook(spark, tmp_path):
+    (tmp_path / "s.jsonl").write_text('{"a": "x"}\n')
+    (r,) = sinks.isolate(spark, str(tmp_path), Rules(), origin="codex", before=lambda line: line | {"b": 1}).collect()
+    assert json.loads(r.redacted) == {"a": "x", "b": 1}
+    with pytest.raises(ValueError, match="no native format"):
+        sinks.isolate(spark, str(tmp_path), Rules(), origin="amp")
+
+
 def test_manifest_and_readme():
     text = sinks.manifest_text({"v": 1}, [{"file": "f"}])
     assert [json.loads(x)["kind"] for x in text.splitlines()] == ["header", "session"] and json.loads(text.splitlines()[0])["session_count"] == 1

@@ -82,9 +82,8 @@ def breakdown(records: DataFrame, key: str) -> DataFrame:
 
 
 def totals(records: DataFrame, marker: str) -> DataFrame:
-    """One row: records, tokens, and occurrences of the redaction marker in the records' texts."""
-    body = F.concat_ws("\n", F.transform(turns_of(F.col("turns")), lambda x: F.concat(t(x["text"]), F.lit("\n"), t(x["reasoning"]))))
-    hits = F.regexp_count(body, F.lit(r"\Q" + marker + r"\E"))
+    """One row: records, tokens, and occurrences of the redaction marker anywhere in the records' lines."""
+    hits = F.regexp_count(F.to_json(F.struct("*")), F.lit(r"\Q" + marker + r"\E"))
     total = lambda c: F.coalesce(F.sum(f"usage.{c}"), F.lit(0)).alias(c)
     return records.agg(F.count(F.lit(1)).alias("records"), total("input_tokens"), total("output_tokens"), F.coalesce(F.sum(hits), F.lit(0)).alias("redactions"))
 

@@ -33,6 +33,10 @@ _EMAIL, _IPV4, _QUOTED = (re.compile(S.translate(p)) for p in (S.EMAIL, S.IPV4,
 _PROVIDERS = [(words, re.compile(p)) for _, words, p in S.PROVIDERS]
 
 
+#: What may not follow the end of a folder's name.
+_EDGE = r"(?![A-Za-z0-9_.\-])"
+
+
 def mode_of(key: str) -> str:
     """``path``, ``url`` or ``text`` by the name of the key a string stands under (commands count as text)."""
     k = key.lower()
@@ -115,19 +119,33 @@ class Rules:
             value = value.replace(literal, self.marker)
         return value, n
 
-    def names(self, value: str) -> tuple[str, int]:
-        """Home folder, short handles in home paths, long handles between word boundaries; a handle counts once a string."""
+    def short_names(self, value: str) -> tuple[str, int]:
+        """Handles of less than 4 bytes, which count only as the owner of a home folder."""
         n = 0
-        edge = r"(?![A-Za-z0-9_.\-])"
-        if self.home:
-            parent, _, owner = self.home.rpartition("/")
-            value, k = re.subn(re.escape(self.home) + edge, f"{parent}/{self.token(owner)}", value)
-            n += k
         for name in self.handles:
             name = name.strip()
             if name and len(name.encode()) < 4:
-                value, k = re.subn(rf"(?:/Users/|/home/|C:\\Users\\){re.escape(name)}{edge}", self.token(name), value)
+                value, k = re.subn(rf"(?:/Users/|/home/|C:\\Users\\){re.escape(name)}{_EDGE}", self.token(name), value)
                 n += k
+        return value, n
+
+    def path_names(self, value: str) -> tuple[str, int]:
+        """A path: cleaned and with short handles alone if it lies in the home folder, else as any text."""
+        clean = posixpath.normpath(value)
+        if self.home and (clean == self.home or clean.startswith(self.home + "/")):
+            parent, _, owner = self.home.rpartition("/")
+            out, n = self.short_names(f"{parent}/{self.token(owner)}{clean[len(self.home) :]}")
+            return out, n + 1
+        return self.names(value)
+
+    def names(self, value: str) -> tuple[str, int]:
+        """Home folder, short handles in home paths, long handles between word boundaries; a handle counts once a string."""
+        n = 0
+        if self.home:
+            parent, _, owner = self.home.rpartition("/")
+            value, n = re.subn(re.escape(self.home) + _EDGE, f"{parent}/{self.token(owner)}", value)
+        value, k = self.short_names(value)
+        n += k
         for name in self.handles:
             name = name.strip()
             if len(name.encode()) >= 4:
@@ -140,18 +158,16 @@ class Rules:
         if not value or large(value):
             return value, 0
         value, n = self.secrets(value)
-        if mode == "path" and self.home:
-            clean = posixpath.normpath(value)
-            if clean == self.home or clean.startswith(self.home + "/"):
-                parent, _, owner = self.home.rpartition("/")
-                return f"{parent}/{self.token(owner)}{clean[len(self.home) :]}", n + 1
+        if mode == "path":
+            value, k = self.path_names(value)
+            return value, n + k
         if mode == "url":
             try:
                 u = urlsplit(value)
             except ValueError:
                 u = None
             if u is not None and u.path and (u.scheme or value.startswith("/")):
-                path, k = self.names(u.path)
+                path, k = self.path_names(u.path)
                 return (urlunsplit(u._replace(path=quote(path, safe="/%:@!$&'()*+,;=~-._[]"))) if k else value), n + k
         value, k = self.names(value)
         return value, n + k

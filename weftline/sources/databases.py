@@ -37,7 +37,9 @@ class SqliteReader(DataSourceReader):
         try:
             with connect(self.path) as c:
                 low, high = c.execute(f'select min(rowid), max(rowid) from "{self.table}"').fetchone()
-        except sqlite3.OperationalError:
+        except sqlite3.OperationalError as e:
+            if "no such column" not in str(e):
+                raise
             return [Rowids(0, -1)]  # tables without rowid are read as one
         if low is None:
             return []
@@ -193,15 +195,15 @@ def named(names: list[str], *wanted: str) -> str | None:
     return None
 
 
-#: Names by which the drifting tables and columns are found, best first.
+# Names by which the drifting tables and columns are found, best first.
 ORCHESTRATOR = {
-    "repos": ("repositories", "repos"), "workspaces": ("workspaces",), "sessions": ("sessions",), "messages": ("session_messages", "messages"),
+    "repos": ("repositories", "repos", "repository"), "workspaces": ("workspaces", "workspace"), "sessions": ("sessions", "session"), "messages": ("session_messages", "sessionmessages", "messages"),
 }
 COLUMNS = {
-    "repos": {"id": ("id",), "name": ("name", "display_name"), "remote": ("remote_origin", "git_url", "remote"), "path": ("path", "root_path")},
-    "workspaces": {"id": ("id",), "repo": ("repository_id", "repo_id"), "label": ("label", "directory_name"), "codename": ("codename", "name"), "branch": ("branch", "branch_name"), "path": ("path", "root_path")},
-    "sessions": {"id": ("id",), "workspace": ("workspace_id",), "agent": ("agent_type", "agent"), "external": ("external_id", "external_session_id"), "model": ("model",), "title": ("title",)},
-    "messages": {"id": ("id",), "session": ("session_id",), "role": ("role",), "content": ("content", "text"), "payload": ("payload", "rich_payload"), "model": ("model",), "sent": ("sent_at", "timestamp"), "created": ("created_at", "timestamp")},
+    "repos": {"id": ("id",), "name": ("display_name", "name", "repo_name"), "remote": ("remote_origin", "remote_url", "origin_url", "git_url"), "path": ("path", "root_path", "directory")},
+    "workspaces": {"id": ("id",), "repo": ("repository_id", "repo_id"), "label": ("label", "directory_name", "name"), "codename": ("codename", "nickname"), "branch": ("branch", "branch_name"), "path": ("path", "root_path")},
+    "sessions": {"id": ("id",), "workspace": ("workspace_id",), "agent": ("agent_type", "agent"), "external": ("external_session_id", "claude_session_id", "agent_session_id"), "model": ("model", "model_id"), "title": ("title", "name")},
+    "messages": {"id": ("id",), "session": ("session_id",), "role": ("role",), "content": ("content", "text"), "payload": ("payload", "rich_payload", "data"), "model": ("model", "model_id"), "sent": ("sent_at", "timestamp"), "created": ("created_at", "created_at_ms", "time_created")},
 }
 
 
@@ -221,7 +223,13 @@ def orchestrator(spark: SparkSession, path: str, external: DataFrame | None = No
         names = {c: named(found[at[kind]], *w) for c, w in COLUMNS[kind].items()}  # type: ignore[index]
         return df.select(*[(F.col(f"`{n}`") if n else F.lit(None).cast("string")).alias(c) for c, n in names.items()])
 
-    repos, workspaces, sessions, messages = (load(k) for k in ORCHESTRATOR)
+    return orchestrated(*(load(k) for k in ORCHESTRATOR), external=external)
+
+
+def orchestrated(repos: DataFrame, workspaces: DataFrame, sessions: DataFrame, messages: DataFrame, external: DataFrame | None = None) -> DataFrame:
+    """The orchestrator's records from its four tables, with the columns named as in ``COLUMNS``, all text."""
+    # Where a schema has one of the two times of a message, it stands for both.
+    messages = messages.withColumn("sent", F.coalesce("sent", "created")).withColumn("created", F.coalesce("created", "sent"))
     r = repos.select(F.col("id").alias("repo"), F.coalesce(F.nullif("name", F.lit("")), "remote").alias("repo_label"), F.col("path").alias("repo_path"))
     w = workspaces.select(F.col("id").alias("workspace"), "repo", first_non_empty(F.col("label"), F.col("codename")).alias("label"), F.coalesce("branch", F.lit("")).alias("branch"), F.col("path").alias("ws_path"))
     folder = F.when((F.coalesce("repo_path", F.lit("")) != "") & (F.col("label") != ""), F.concat_ws("/", F.regexp_replace("repo_path", "/+$", ""), "label")).otherwise(F.coalesce("ws_path", F.lit("")))

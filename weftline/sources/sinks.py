@@ -64,27 +64,47 @@ def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("sha256"), F.col("length").alias("bytes"))
 
 
-def strip_images(value: object) -> object:
-    """A JSON value without image blocks and image lists."""
-    if isinstance(value, dict):
-        return {k: strip_images(v) for k, v in value.items() if k not in ("images", "local_images")}
-    if isinstance(value, list):
-        return [strip_images(v) for v in value if not (isinstance(v, dict) and v.get("type") in ("image", "input_image"))]
-    return value
-
-
-def isolate(spark: SparkSession, root: str, rules: Rules, keep_images: bool = True) -> DataFrame:
+def _without_blocks(content: object, kind: str, nested: bool) -> object:
+    """A list of content blocks without those of one type; with ``nested`` also within the blocks' own content lists."""
+    if not isinstance(content, list):
+        return content
+    kept = [b for b in content if not (isinstance(b, dict) and b.get("type") == kind)]
+    return [b | {"content": _without_blocks(b["content"], kind, True)} if nested and isinstance(b, dict) and isinstance(b.get("content"), list) else b for b in kept]
+
+
+def strip_images(line: dict, origin: str) -> dict:
+    """A line of a native log without its images, where the log's own format has them; all else, tool arguments too, stays."""
+    part = "message" if origin == "claudecode" else "payload"
+    inner = line.get(part)
+    if not isinstance(inner, dict):
+        return line
+    if origin == "claudecode":
+        return line | {part: inner | {"content": _without_blocks(inner["content"], "image", True)}} if "content" in inner else line
+    kind = (line.get("type"), inner.get("type"))
+    if kind == ("response_item", "message") and "content" in inner:
+        return line | {part: inner | {"content": _without_blocks(inner["content"], "input_image", False)}}
+    if kind == ("event_msg", "user_message"):
+        return line | {part: {k: v for k, v in inner.items() if k not in ("images", "local_images")}}
+    return line
+
+
+def isolate(spark: SparkSession, root: str, rules: Rules, keep_images: bool = True, origin: str = "claudecode", before: Callable[[dict], dict] | None = None) -> DataFrame:
     """(path, target, lines, source_hash, redacted_hash, redacted): native line logs redacted line by line, shape kept.
 
     Objects are walked, other JSON and text is redacted as text; a broken line
-    raises. ``target`` is eight hex digits of the folder's hash and the file name.
+    raises. ``target`` is eight hex digits of the folder's hash and the file
+    name. Only origins with a native format have copies; ``before`` is a hook
+    that sees each object ahead of the redaction.
     """
+    if origin not in NATIVE:
+        raise ValueError(f"{origin} has no native format to copy; there are {', '.join(NATIVE)}")
 
     def line(raw: str) -> str:
         value = json.loads(raw)
         if not isinstance(value, dict):
             return rules.apply(raw)[0]
-        return json.dumps(rules.walk(value if keep_images else strip_images(value))[0], ensure_ascii=False)
+        value = value if keep_images else strip_images(value, origin)
+        return json.dumps(rules.walk(before(value) if before else value)[0], ensure_ascii=False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
