@@ -153,6 +153,11 @@ def parse_redaction_key(key: Column) -> Column:
     return F.when(key.rlike(pattern), F.struct(part(1).alias("pipeline"), part(2).alias("config"), part(3).alias("images")))
 
 
+def sample_count(value: Column) -> Column:
+    """The first whole number of a text, 0 if it has none or one too large."""
+    return F.coalesce(F.regexp_extract(value, r"(?<![A-Za-z0-9_])(\d+)(?![A-Za-z0-9_])", 1).try_cast("long"), F.lit(0).cast("long"))
+
+
 def call_id(turn: Column, call: Column, tool: Column) -> Column:
     return F.concat(F.lit("call_"), turn.cast("string"), F.lit("_"), call.cast("string"), F.lit("_"), text(tool))
 

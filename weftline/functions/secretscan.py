@@ -7,7 +7,9 @@ Unicode case folding, absolute text ends.
 
 from __future__ import annotations
 
+import json
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,6 +45,54 @@ PROVIDERS = (
     ("sparkscan", ("ss_pk_", "ss_sk_"), r"ss_(?:pk|sk)_(?:live|test)_[A-Za-z0-9]{22,}"),
 )
 
+
+
+@dataclass(frozen=True)
+class Detector:
+    """A detector of one's own: its label, keywords of which a text must hold one, and a pattern of which all is the secret."""
+
+    label: str
+    keywords: tuple[str, ...]
+    pattern: str
+
+
+_REGISTERED: dict[str, Detector] = {}
+
+
+def register(detector: Detector) -> None:
+    """Make a detector known to the rules made from now on; a label can be taken once."""
+    if detector.label in _REGISTERED or detector.label in {n for n, _, _ in PROVIDERS}:
+        raise ValueError(f"there is a detector {detector.label!r} already")
+    re.compile(detector.pattern)
+    _REGISTERED[detector.label] = detector
+
+
+def registered() -> tuple[Detector, ...]:
+    return tuple(_REGISTERED.values())
+
+
+def patterns_of(body: str) -> list[Detector]:
+    """Detectors of a YAML document ``patterns: [{name, regex}]`` in block style; broken patterns are errors."""
+    found: list[dict[str, str]] = []
+    inside = False
+    for line in body.splitlines():
+        if not line.strip() or line.lstrip().startswith("#"):
+            continue
+        if not line[0].isspace() and not line.startswith("-"):
+            inside = line.split(":")[0].strip() == "patterns"
+            continue
+        m = re.match(r"\s*(-\s+)?(name|regex):\s*(.*?)\s*$", line)
+        if inside and m:
+            if m[1]:
+                found.append({})
+            v = m[3]
+            found[-1][m[2]] = v[1:-1].replace("''", "'") if v[:1] == "'" == v[-1:] else json.loads(v) if v[:1] == '"' == v[-1:] else v
+    out = [Detector(f["name"], (), f["regex"]) for f in found if f.get("name") and f.get("regex")]
+    for d in out:
+        re.compile(d.pattern)
+    return out
+
+
 SPACE = r"\t\n\f\r "
 BOUNDARY = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import secretscan as S
+from .redaction import _QUOTED, shannon
 
 LIMITS = {"email": 20, "public_ip": 20, "token": 20, "high_entropy": 15}
 
@@ -28,6 +33,35 @@ def samples(lines: DataFrame, key: str, column: str, category: str) -> DataFrame
     return found.orderBy(key, "position").limit(LIMITS[category]).select("value", key, F.col("position").cast("long").alias("position"))
 
 
+def excerpt(value: Column, size: int = 160) -> Column:
+    """A line of at most ``size`` bytes, else its beginning and ``...``; no character is split."""
+    head = F.make_valid_utf8(F.substring(F.to_binary(value, F.lit("utf-8")), 1, size - 3).cast("string"))
+    return F.when(F.octet_length(value) <= size, value).otherwise(F.concat(F.regexp_replace(head, "\ufffd+$", ""), F.lit("...")))
+
+
+def name_examples(lines: DataFrame, key: str, column: str, name: str, most: int = 5) -> DataFrame:
+    """(key, excerpt): the first lines that contain ``name`` in any case, at most ``most`` (a bounded report)."""
+    hits = lines.where(F.contains(F.lower(F.col(column)), F.lit(name.lower())))
+    return hits.orderBy(key).limit(most).select(key, excerpt(F.col(column)).alias("excerpt"))
+
+
+def entropy_contexts(lines: DataFrame, key: str, column: str, around: int = 24) -> DataFrame:
+    """(key, value, context): the high-entropy values with ``around`` bytes on either side, line breaks as blanks; in one Arrow pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for k, v in zip(b.column(0), b.column(1).to_pylist()):
+                for m in _QUOTED.finditer(v or ""):
+                    inner = m[0][1:-1]
+                    if all(re.search(c, inner) for c in ("[A-Z]", "[a-z]", "[0-9]")) and shannon(inner) >= 4.0:
+                        before, after = v[: m.start()].encode()[-around:], v[m.end() :].encode()[:around]
+                        out.append((k, inner, (before.decode("utf-8", "ignore") + m[0] + after.decode("utf-8", "ignore")).replace("\n", " ")))
+            yield pa.RecordBatch.from_arrays([pa.array([o[0].as_py() for o in out], b.column(0).type), pa.array([o[1] for o in out], pa.string()), pa.array([o[2] for o in out], pa.string())], names=[key, "value", "context"])
+
+    return lines.select(key, column).mapInArrow(run, f"`{key}` {lines.schema[key].dataType.simpleString()}, value string, context string")
+
+
 def name_scan(lines: DataFrame, column: str, name: str) -> DataFrame:
     """One row: how many lines contain ``name`` in any case."""
     return lines.agg(F.count_if(F.contains(F.lower(F.col(column)), F.lit(name.lower()))).alias("lines_with_name"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import parse_redaction_key, text
+from ..session import stage, unstage
 
 CONTENT = ("source_hash", "redaction_key", "redacted_hash")
 
@@ -62,6 +63,56 @@ def diff_ordered(local: list[dict], remote: list[dict]) -> tuple[list[dict], lis
     return upload, [e for e in remote if e["file"] not in claimed], aligned
 
 
+def diff(local: DataFrame, remote: DataFrame, order: Column) -> DataFrame:
+    """(position, file, aligned_file, action, rule) of each local entry, for entries with repeated keys, in the order ``order``.
+
+    As ``diff_unique``, but a remote file is claimed once, by the first local
+    entry that adopts it: an entry whose file is claimed before it goes on to
+    its next choice. Of remote entries with one key the last counts. Solved in
+    rounds over tables: an entry takes a file once no earlier entry can still
+    claim it, so every round settles at least all that wait for nobody.
+    """
+    key = lambda p="": F.when((text(F.col(f"{p}session_id")) != "") & (text(F.col(f"{p}format")) != ""), F.concat_ws("|", F.col(f"{p}format"), F.col(f"{p}session_id")))
+    content = F.concat_ws("|", *[text(F.col(c)) for c in CONTENT])
+    r = remote.select(order.alias("o"), text(F.col("file")).alias("file"), key().alias("k"), content.alias("c"))
+    last = lambda of, name: r.where(f"{of} is not null").groupBy(of).agg(F.max_by(F.struct("file", "c"), "o").alias(name))
+    mine = local.select(order.alias("o"), text(F.col("file")).alias("file"), key().alias("k"), content.alias("c"))
+    rows = mine.join(last("k", "s"), "k", "left").join(last("file", "f"), "file", "left").join(last("c", "t").where("c != '||'"), "c", "left")
+    option = lambda cond, file, rule, upload: F.when(cond, F.struct(file.alias("file"), F.lit(rule).alias("rule"), upload.alias("upload")))
+    no, yes = F.lit(False), F.lit(True)
+    options = F.array_compact(F.array(
+        option(F.col("s").isNotNull(), F.col("s.file"), 1, F.col("s.c") != F.col("c")), option(F.col("f.c") == F.col("c"), F.col("file"), 2, no),
+        option(F.col("t").isNotNull() & (F.col("t.file") != F.col("file")), F.col("t.file"), 3, no), option(yes, F.col("file"), 4, yes),
+    ))
+    # What stands after one's own file, which is taken without asking, is never reached.
+    first_own = F.array_min(F.transform(F.filter(options, lambda x: x["rule"].isin(2, 4)), lambda x: x["rule"]))
+    open_ = stage(rows.select("o", F.col("file").alias("own"), F.filter(options, lambda x: x["rule"] <= first_own).alias("left")))
+    done = []
+    while not open_.isEmpty():
+        may = open_.select("o", F.explode("left").alias("x")).select("o", "x.file").groupBy("file").agg(F.min("o").alias("first"))
+        now = open_.withColumn("want", F.col("left")[0]).join(may, F.col("want.file") == may["file"], "left")
+        ready = F.col("want.rule").isin(2, 4) | (F.col("first") >= F.col("o"))
+        taken = stage(now.where(ready).select("o", "own", F.col("want.file").alias("aligned_file"), F.col("want.rule").alias("rule"), F.col("want.upload").alias("upload")))
+        claims = taken.groupBy("aligned_file").agg(F.min("o").alias("claimed")).withColumnRenamed("aligned_file", "cfile")
+        rest = open_.join(taken.select("o"), "o", "left_anti").select("o", "own", F.posexplode("left").alias("i", "x")).join(claims, F.col("x.file") == claims["cfile"], "left")
+        # A choice that was claimed before is gone; one's own file stays.
+        kept = rest.where("x.rule in (2, 4) or claimed is null or claimed > o").groupBy("o", "own").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("a"))
+        new = stage(kept.select("o", "own", F.transform("a", lambda z: z["x"]).alias("left")))
+        unstage(open_)
+        open_, done = new, [*done, taken]
+    out = done[0] if done else None
+    for d in done[1:]:
+        out = out.unionByName(d)
+    if out is None:
+        return local.sparkSession.createDataFrame([], "position long, file string, aligned_file string, action string, rule long")
+    return out.select(F.col("o").cast("long").alias("position"), F.col("own").alias("file"), "aligned_file", F.when(F.col("upload"), "upload").otherwise("keep").alias("action"), F.col("rule").cast("long").alias("rule"))
+
+
+def retained(remote: DataFrame, aligned: DataFrame) -> DataFrame:
+    """The remote entries whose file no local entry has taken."""
+    return remote.join(aligned.select(F.col("aligned_file").alias("file")).distinct(), "file", "left_anti")
+
+
 def merge(local: DataFrame, remote: DataFrame) -> DataFrame:
     """Local entries, and the remote ones whose file no local entry has."""
     return local.unionByName(remote.join(local.select("file").distinct(), "file", "left_anti"))

@@ -78,7 +78,7 @@ class Rules:
     handles: tuple[str, ...] = ()
     home: str = ""
     marker: str = S.MARKER
-    counts: Counter = field(default_factory=Counter, compare=False)
+    detectors: tuple[S.Detector, ...] = field(default_factory=S.registered)
 
     def token(self, name: str) -> str:
         return "anon_" + sha256(name.strip().lower().encode()).hexdigest()[:10]
@@ -100,8 +100,8 @@ class Rules:
         def unless(ok) -> object:  # noqa: ANN001
             return lambda m: m[0] if ok(m[0]) else whole(m)
 
-        for words, pattern in _PROVIDERS:
-            if any(w in value for w in words):
+        for words, pattern in [*_PROVIDERS, *((d.keywords, re.compile(d.pattern)) for d in self.detectors)]:
+            if not words or any(w in value for w in words):
                 value = pattern.sub(whole, value)
         for pattern, group in _PATTERNS:
             value = pattern.sub(grouped if group else whole, value)
@@ -193,6 +193,39 @@ class Rules:
         return value, 0
 
 
+#: Signs that join the parts of a credential, and the least length of a part that is looked for by itself.
+JOINTS, LEAST_PART = ":;,=|& \t\r\n\"'<>()[]{}", 8
+
+
+def scrub_parts(value: str, raw: str, combined: str, marker: str = S.MARKER) -> tuple[str, int]:
+    """A credential of several parts taken out of a text, and how often: ``combined`` as a whole, then ``raw``.
+
+    Where the combined form does not stand in one piece, its other parts are
+    looked for: what is left of it around ``raw``, or, if ``raw`` is no part of
+    it, the first split whose halves both occur.
+    """
+
+    def take(part: str) -> int:
+        nonlocal value
+        n = value.count(part) if part else 0
+        value = value.replace(part, marker) if n else value
+        return n
+
+    whole = take(combined)
+    n = whole + (take(raw) if raw != combined else 0)
+    if whole or not combined or raw == combined:
+        return value, n
+    if raw and raw in combined:
+        n += sum([take(p.strip(JOINTS)) for p in combined.split(raw)])
+        return value, n
+    for i in range(LEAST_PART, len(combined) - LEAST_PART + 1):
+        left, right = combined[:i], combined[i:]
+        if left in value and right in value:
+            n += take(left) + take(right)
+            break
+    return value, n
+
+
 def redact_column(df: DataFrame, key: str, column: str, rules: Rules, mode: str = "text") -> DataFrame:
     """(key, redacted, redactions) of a string column; null stays null."""
 

@@ -133,6 +133,25 @@ def manifest_text(header: dict, entries: list[dict]) -> str:
     return "".join(json.dumps(x, ensure_ascii=False) + "\n" for x in [head, *({"kind": "session"} | e for e in entries)])
 
 
+def summary_json(total: dict, by_model: list[dict], by_grouping: list[dict]) -> str:
+    """The summary of an export as indented JSON: totals, and breakdowns by name."""
+    named = lambda rows, key: {r[key]: {k: v for k, v in r.items() if k != key} for r in sorted(rows, key=lambda r: r[key])}
+    return json.dumps(total | {"models": named(by_model, "model"), "groupings": named(by_grouping, "grouping")}, indent=2, ensure_ascii=False)
+
+
+def copies_markdown(formats: list[dict], keys: list[dict]) -> str:
+    """A readme of redacted native copies: sessions and lines by format, the mix of redaction keys, and the image policy.
+
+    ``formats`` has format, sessions, lines; ``keys`` redaction_key, images, sessions.
+    """
+    policies = sorted({k["images"] for k in keys})
+    images = {"keep": "Images are kept.", "strip": "Images are stripped."}.get(policies[0] if len(policies) == 1 else "", "Images are kept in some sessions and stripped in others." if {"keep", "strip"} <= set(policies) else "The image policy is not known.")
+    out = ["# Redacted native sessions", "", f"- sessions: {sum(f['sessions'] for f in formats)}", f"- lines: {sum(f['lines'] for f in formats)}", "", images, "", "| format | sessions | lines |", "|-|-|-|"]
+    out += [f"| {f['format']} | {f['sessions']} | {f['lines']} |" for f in sorted(formats, key=lambda f: f["format"] or "")]
+    out += ["", "| redaction key | images | sessions |", "|-|-|-|"]
+    return "\n".join([*out, *(f"| {k['redaction_key']} | {k['images']} | {k['sessions']} |" for k in sorted(keys, key=lambda k: k["redaction_key"]))])
+
+
 def summary_markdown(total: dict, by_model: list[dict], by_grouping: list[dict]) -> str:
     """A readme of an export: totals and the breakdowns sorted by name."""
 
