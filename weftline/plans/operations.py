@@ -9,6 +9,7 @@ from ..functions import scalar, secretscan
 from ..operators import attest, extraction, manifest, records
 from ..session import table
 from ..sources import claudecode, codex, databases, sinks
+from . import layouts
 from .reference import _EMAILS, _ENT, _IPS, ONE, _entries, _lit, _quoted, _records
 
 QUERIES: dict = {}
@@ -201,3 +202,22 @@ def manifest_claims(s, d):
     e = _entries(s, d).withColumn("b", F.coalesce("batch_no", F.lit(-1)))
     newest = e.agg(F.max("b")).first()[0]
     return manifest.diff(e.where(F.col("b") == F.lit(newest)), e.where(F.col("b") != F.lit(newest)), F.col("entry_id"))
+
+
+#: A tool as the layouts' queries announce it.
+SHELL = {"name": "bash", "description": "Runs a command", "parameters": {"type": "object", "properties": {"command": {"type": "string", "description": "what to run"}}, "required": ["command"]}}
+
+for _name in layouts.LAYOUTS:
+    QUERIES["layout_" + _name.replace(".", "_")] = lambda s, d, n=_name: layouts.render_layout(_records(s, d), n, [SHELL], "<s>")
+
+# A record of turns without calls, attachments, outputs or nulls is a plain line of frames in two of the layouts.
+_PLAIN = f"""(select record_id, ts from (select record_id, list_filter(coalesce(turns, []), lambda x: x is not null) as ts from {ONE}) where len(list_filter(ts, lambda x: coalesce(len(list_filter(x.tool_calls, lambda c: c is not null)), 0) > 0)) = 0)"""
+_HERMES = layouts.hermes([], None, "", False).replace("'", "''")
+SQL["hermes_plain"] = f"""select record_id, '{_HERMES}' || coalesce(list_aggregate(list_transform(list_filter(ts, lambda x: x.role in ('user', 'assistant', 'system')), lambda x: '<|im_start|>' || x.role || chr(10) || coalesce(x.text, '') || '<|im_end|>' || chr(10)), 'string_agg', ''), '') as content from {_PLAIN}"""
+
+
+@query("hermes_plain", SQL["hermes_plain"])
+def hermes_plain(s, d):
+    r = _records(s, d)
+    called = r.select("record_id", F.explode("turns").alias("x")).where(F.size(F.filter("x.tool_calls", lambda c: c.isNotNull())) > 0).select("record_id").distinct()
+    return layouts.render_layout(r.join(called, "record_id", "left_anti"), "hermes").select("record_id", "content")
