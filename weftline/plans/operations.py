@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar, secretscan
 from ..operators import attest, extraction, manifest, records
 from ..session import table
-from ..sources import claudecode, codex, databases, sinks
+from ..sources import claudecode, codex, databases, sinks, traces
 from . import layouts
 from .reference import _EMAILS, _ENT, _IPS, ONE, _entries, _lit, _quoted, _records
 
@@ -204,6 +204,70 @@ def manifest_claims(s, d):
     return manifest.diff(e.where(F.col("b") == F.lit(newest)), e.where(F.col("b") != F.lit(newest)), F.col("entry_id"))
 
 
+# The other stores: the records' turns are spelled as the store keeps them and read back by its adapter.
+_SPOKEN = f"(select record_id, i, x.role as role, x.text as text from (select record_id, unnest(turns) as x, generate_subscripts(turns, 1) as i from {ONE}) where x.role in ('user', 'assistant') and trim(x.text) <> '')"
+for _store, _id in {"gemini": "record_id", "kimi": "md5(record_id)", "openclaw": "record_id", "opencode": "record_id", "cursor": "record_id"}.items():
+    SQL[f"{_store}_turns"] = f"select {_id} as record_id, count(*) as turns, count(*) filter (where role = 'user') as user_turns, md5(string_agg(text, chr(10) order by i)) as texts from {_SPOKEN} group by record_id"
+
+
+def _spoken(s: SparkSession, d: str) -> DataFrame:
+    turns = _records(s, d).select("record_id", F.posexplode("turns").alias("n", "x"))
+    return turns.where("x.role in ('user', 'assistant') and trim(x.text) != ''").select("record_id", "n", "x.role", "x.text")
+
+
+def _told(records_: DataFrame, key) -> DataFrame:  # noqa: ANN001
+    texts = F.array_join(F.transform("turns", lambda x: x["text"]), "\n")
+    return records_.select(key.alias("record_id"), F.size("turns").cast("long").alias("turns"), F.col("usage.user_turns").alias("user_turns"), F.md5(texts).alias("texts"))
+
+
+@query("gemini_turns", SQL["gemini_turns"])
+def gemini_turns(s, d):
+    said = F.struct(F.when(F.col("role") == "user", "user").otherwise("gemini").alias("type"), F.col("text").alias("content"))
+    docs = _spoken(s, d).groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("n", said.alias("m")))).alias("a"))
+    docs = docs.select(F.concat(F.lit("/g/"), F.md5("record_id"), F.lit("/chats/session-1.json")).alias("path"), F.to_json(F.struct(F.col("record_id").alias("sessionId"), F.transform("a", lambda x: x["m"]).alias("messages"))).alias("value"))
+    return _told(traces.gemini_traces(docs), F.col("record_id"))
+
+
+@query("kimi_turns", SQL["kimi_turns"])
+def kimi_turns(s, d):
+    block = F.array(F.struct(F.lit("text").alias("type"), "text"))
+    raw = F.when(F.col("role") == "user", F.to_json(F.struct("role", F.col("text").alias("content")))).otherwise(F.to_json(F.struct("role", block.alias("content"))))
+    lines = _spoken(s, d).select(F.concat(F.lit("/k/sessions/x/"), F.md5("record_id"), F.lit("/context.jsonl")).alias("path"), F.col("n").cast("long").alias("line_no"), raw.alias("raw"))
+    return _told(traces.kimi_sessions(lines, s.createDataFrame([], "dir string")), F.substring_index("record_id", "/", -1))
+
+
+@query("openclaw_turns", SQL["openclaw_turns"])
+def openclaw_turns(s, d):
+    spoken = _spoken(s, d)
+    path = F.concat(F.lit("/o/sessions/"), F.md5("record_id")).alias("path")
+    heads = spoken.select("record_id").distinct().select(path, F.lit(0).cast("long").alias("line_no"), F.to_json(F.struct(F.lit("session").alias("type"), F.col("record_id").alias("id"))).alias("raw"))
+    message = F.struct("role", F.array(F.struct(F.lit("text").alias("type"), "text")).alias("content"))
+    lines = spoken.select(path, (F.col("n") + 1).cast("long").alias("line_no"), F.to_json(F.struct(F.lit("message").alias("type"), message.alias("message"))).alias("raw"))
+    return _told(traces.openclaw_sessions(heads.unionByName(lines)), F.col("record_id"))
+
+
+@query("opencode_turns", SQL["opencode_turns"])
+def opencode_turns(s, d):
+    spoken = _spoken(s, d)
+    at = F.col("n").cast("string").alias("time_created")
+    mid = F.concat_ws("#", "record_id", F.col("n"))
+    none = F.lit(None).cast("string")
+    session = spoken.select("record_id").distinct().select(F.col("record_id").alias("id"), none.alias("directory"), none.alias("time_created"), none.alias("time_updated"))
+    message = spoken.select(mid.alias("id"), F.col("record_id").alias("session_id"), at, F.to_json(F.struct("role")).alias("data"))
+    part = spoken.select(F.lit("p").alias("id"), mid.alias("message_id"), at, F.to_json(F.struct(F.lit("text").alias("type"), "text")).alias("data"))
+    return _told(databases.opencode_sessions(session, message, part), F.col("record_id"))
+
+
+@query("cursor_turns", SQL["cursor_turns"])
+def cursor_turns(s, d):
+    spoken = _spoken(s, d)
+    name = F.col("n").cast("string")
+    heads = spoken.groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("n", F.struct(name.alias("bubbleId")).alias("h")))).alias("a"))
+    heads = heads.select(F.concat(F.lit("composerData:"), "record_id").alias("key"), F.to_json(F.struct(F.transform("a", lambda x: x["h"]).alias("fullConversationHeadersOnly"))).alias("value"))
+    bubbles = spoken.select(F.concat(F.lit("bubbleId:"), "record_id", F.lit(":"), name).alias("key"), F.to_json(F.struct(F.when(F.col("role") == "user", 1).otherwise(2).alias("type"), "text")).alias("value"))
+    return _told(databases.cursor_composers(heads.unionByName(bubbles)), F.col("record_id"))
+
+
 #: A tool as the layouts' queries announce it.
 SHELL = {"name": "bash", "description": "Runs a command", "parameters": {"type": "object", "properties": {"command": {"type": "string", "description": "what to run"}}, "required": ["command"]}}
 

@@ -122,7 +122,12 @@ def template_zephyr(s, d):
     return _records(s, d).select("record_id", render.template_zephyr(records.merged_messages()).alias("content"))
 
 
-@query("template_vicuna")
+_STRIPPED = r"regexp_replace(content, '^[\s\x{85}\x{a0}]+|[\s\x{85}\x{a0}]+$', '', 'g')"
+
+
+@query("template_vicuna", f"""{_RUNS} select record_id, case when bool_and(right_) then '<s>' || coalesce(string_agg(line, '' order by run), '') end as content from (select r.record_id, run,
+ coalesce((role = 'user') = (run % 2 = 1), true) as right_, case role when 'user' then 'USER: ' || {_STRIPPED} || chr(10) when 'assistant' then 'ASSISTANT: ' || {_STRIPPED} || '</s>' || chr(10) else '' end as line
+ from {ONE} r left join runs using (record_id)) group by 1""")
 def template_vicuna(s, d):
     return _records(s, d).select("record_id", render.template_vicuna(records.merged_messages()).alias("content"))
 

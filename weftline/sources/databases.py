@@ -102,7 +102,11 @@ def opencode(spark: SparkSession, path: str) -> DataFrame:
     """Sessions with their messages and parts, both in order of creation; messages without content only stretch the times."""
     if not {"session", "message", "part"} <= set(tables(path)):
         return empty(spark)
-    session, message, part = (read_table(spark, path, t) for t in ("session", "message", "part"))
+    return opencode_sessions(*(read_table(spark, path, t) for t in ("session", "message", "part")))
+
+
+def opencode_sessions(session: DataFrame, message: DataFrame, part: DataFrame) -> DataFrame:
+    """Records from the three tables, all columns text."""
     p = B.parsed(part, "data").select("message_id", F.struct(F.col("time_created").try_cast("double").alias("t"), "id").alias("o"), "v")
     v = F.col("v")
     kind = B.s(v, "$.type")
@@ -139,12 +143,17 @@ def cursor(spark: SparkSession, path: str) -> DataFrame:
     """A key-value table: composers list their bubbles, each found under its own key; missing bubbles are skipped."""
     if "cursorDiskKV" not in tables(path):
         return empty(spark)
-    composers = B.parsed(read_table(spark, path, "cursorDiskKV", "key like 'composerData:%'"), "value").withColumn("composer", F.substring("key", 14, 1000))
+    return cursor_composers(read_table(spark, path, "cursorDiskKV", "key like 'composerData:%' or key like 'bubbleId:%'"))
+
+
+def cursor_composers(pairs: DataFrame) -> DataFrame:
+    """Records from (key, value)."""
+    composers = B.parsed(pairs.where("key like 'composerData:%'"), "value").withColumn("composer", F.substring("key", 14, 1000))
     v = F.col("v")
     full = B.arr(v, "$.fullConversationHeadersOnly")
     heads = composers.select("composer", F.posexplode(F.when(F.size(full) > 0, full).otherwise(B.arr(v, "$.conversation"))).alias("ord", "h"))
     heads = heads.select("composer", "ord", F.concat(F.lit("bubbleId:"), "composer", F.lit(":"), B.s(F.col("h"), "$.bubbleId")).alias("key"))
-    bubbles = B.parsed(read_table(spark, path, "cursorDiskKV", "key like 'bubbleId:%'"), "value").select("key", "v")
+    bubbles = B.parsed(pairs.where("key like 'bubbleId:%'"), "value").select("key", "v")
     rows = heads.join(bubbles, "key")
     at = B.time_at(v, "$.createdAt")
 

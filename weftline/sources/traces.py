@@ -31,7 +31,12 @@ def gemini(spark: SparkSession, root: str, workspaces: DataFrame | None = None)
 
     Equal contents of one grouping are one record, the first by path.
     """
-    rows = B.files(spark, root, "session-*.json").where("path not like '%/bin/%'").withColumn("digest", F.regexp_extract("path", r"([^/]+)/chats/[^/]+$", 1))
+    return gemini_traces(B.files(spark, root, "session-*.json").where("path not like '%/bin/%'"), workspaces)
+
+
+def gemini_traces(rows: DataFrame, workspaces: DataFrame | None = None) -> DataFrame:
+    """Records from (path, value), the files of the sessions."""
+    rows = rows.withColumn("digest", F.regexp_extract("path", r"([^/]+)/chats/[^/]+$", 1))
     if workspaces is not None:
         rows = rows.join(workspaces.select("digest", F.col("path").alias("workspace")), "digest", "left")
     else:
@@ -118,11 +123,15 @@ def amp_traces(rows: DataFrame) -> DataFrame:
 
 def kimi(spark: SparkSession, root: str) -> DataFrame:
     """``<root>/sessions/<md5 of the work folder>/<session>/context.jsonl``; ``kimi.json`` lists the folders."""
-    rows = B.lines(B.files(spark, f"{root}/sessions", "context.jsonl"))
-    rows = rows.select("path", F.regexp_extract("path", r"([^/]+)/([^/]+)/context\.jsonl$", 1).alias("digest"), F.regexp_extract("path", r"([^/]+)/([^/]+)/context\.jsonl$", 2).alias("session"), F.col("line_no").alias("ord"), "raw")
     known = B.parsed(B.files(spark, root, "kimi.json").where("path not like '%/sessions/%'"), "value").select(F.explode(B.arr(F.col("v"), "$.work_dirs")).alias("d"))
     folder = F.when(F.schema_of_variant("d") == "STRING", F.try_variant_get("d", "$", "string")).otherwise(B.s(F.col("d"), "$.path"))
-    known = known.select(folder.alias("dir")).where("dir != ''").distinct().select(F.md5("dir").alias("digest"), "dir")
+    return kimi_sessions(B.lines(B.files(spark, f"{root}/sessions", "context.jsonl")), known.select(folder.alias("dir")))
+
+
+def kimi_sessions(rows: DataFrame, folders: DataFrame) -> DataFrame:
+    """Records from (path, line_no, raw), with the work folders (dir) that are known."""
+    rows = rows.select("path", F.regexp_extract("path", r"([^/]+)/([^/]+)/context\.jsonl$", 1).alias("digest"), F.regexp_extract("path", r"([^/]+)/([^/]+)/context\.jsonl$", 2).alias("session"), F.col("line_no").alias("ord"), "raw")
+    known = folders.where("dir != ''").distinct().select(F.md5("dir").alias("digest"), "dir")
     e = B.parsed(rows.join(known, "digest", "left"))
     v = F.col("v")
     role = B.s(v, "$.role")
@@ -138,7 +147,12 @@ def kimi(spark: SparkSession, root: str) -> DataFrame:
 
 def openclaw(spark: SparkSession, root: str) -> DataFrame:
     """``**/sessions/*.jsonl`` whose first JSON line is a session header; other files give no record."""
-    e = B.parsed(B.lines(B.files(spark, root, "*.jsonl").where("path like '%/sessions/%'")))
+    return openclaw_sessions(B.lines(B.files(spark, root, "*.jsonl").where("path like '%/sessions/%'")))
+
+
+def openclaw_sessions(lines: DataFrame) -> DataFrame:
+    """Records from (path, line_no, raw)."""
+    e = B.parsed(lines)
     v = F.col("v")
     kind, role = B.s(v, "$.type"), B.s(v, "$.message.role")
     head = e.groupBy("path").agg(F.min("line_no").alias("h"))
