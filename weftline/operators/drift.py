@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut
+from ..session import cut, stage
 
 #: Bits of the type lattice.
 TYPES = ("string", "number", "boolean", "object", "array")
@@ -169,7 +169,8 @@ def changes(lines: DataFrame, store_fields: DataFrame) -> DataFrame:
         .groupBy("file_id", "store", "field_path")
         .agg(F.bit_or("types").alias("types"), F.array_compact(F.collect_set("value")).alias("vals"))
     )
-    return _compare(seen, spec)
+    # Read several times below: written once, so that the lines are parsed once.
+    return _compare(stage(seen), spec)
 
 
 def _compare(seen: DataFrame, spec: DataFrame) -> DataFrame:
