@@ -114,6 +114,12 @@ def test_amp(spark, tmp_path):
     assert json.loads(r.extensions) == {"amp": {"visibility": "private", "client_type": "cli"}}
 
 
+def test_amp_plan_is_small(spark):
+    # The driver holds the plan several times over; with times written out at each mention this one took 10 million characters.
+    rows = spark.createDataFrame([("p", "g", "{}")], "path string, grouping string, raw string")
+    assert len(traces.amp_traces(rows)._jdf.queryExecution().analyzed().toString()) < 1_000_000
+
+
 def test_sqlite_sources(spark, tmp_path):
     from weftline.sources import databases
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
-from ..functions.scalar import first_non_empty, int_number, json_string, normalize_timestamp
+from ..functions.scalar import first_non_empty, int_number, json_string, timestamp_seconds, utc_text
 
 ARRAY = "array<variant>"
 CALLS, BLOCKS = f"array<{schema.CALL}>", f"array<{schema.BLOCK}>"
@@ -68,12 +68,19 @@ def number(v: Column, path: str) -> Column:
     return int_number(v, path)
 
 
+def once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)`` with ``value`` bound to a name: a form that names it many times stays as small as one that names it once."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
 def time_at(v: Column, path: str) -> Column:
     """Normalised time at ``path``, from a string or a number of milliseconds."""
     ms = F.try_variant_get(v, path, "double").cast("long").cast("string")
     kind = F.schema_of_variant(sub(v, path))
     raw = F.when(kind == "STRING", F.try_variant_get(v, path, "string")).when(kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL"), ms)
-    return normalize_timestamp(F.coalesce(raw, F.lit("")))
+    # A time's forms name it some hundred times, and a trace has several of them in each turn.
+    seconds = once(F.coalesce(raw, F.lit("")), timestamp_seconds)
+    return F.coalesce(once(seconds, lambda t: F.when(t.isNotNull(), utc_text(t))), F.lit(""))
 
 
 def decoded(text: Column) -> Column:

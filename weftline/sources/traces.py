@@ -100,10 +100,9 @@ def amp_traces(rows: DataFrame) -> DataFrame:
         blocks = _objects(m, "$.content")
         starts = F.filter(F.transform(blocks, lambda b: B.time_at(b, "$.startTime")), lambda t: t != "")
         at = F.coalesce(F.nullif(B.time_at(m, "$.meta.sentAt"), F.lit("")), F.try_element_at(starts, F.lit(1)), F.nullif(B.time_at(m, "$.usage.timestamp"), F.lit("")), F.lit(""))
-        t = B.turn(B.s(m, "$.role"), at, B.texts(blocks, "text", "", "$.text"), B.texts(blocks, "thinking", "\n", "$.thinking", "$.text"))
-        return F.when(t["role"].isin("user", "assistant") & ((t["text"] != "") | (t["reasoning"] != "")), t)
+        return B.turn(B.s(m, "$.role"), at, B.texts(blocks, "text", "", "$.text"), B.texts(blocks, "thinking", "\n", "$.thinking", "$.text"))
 
-    turns = F.filter(F.transform("m", turn), lambda t: t.isNotNull())
+    turns = F.filter(F.transform("m", turn), lambda t: t["role"].isin("user", "assistant") & ((t["text"] != "") | (t["reasoning"] != "")))
     rows = rows.withColumn("ts", turns).where(F.size("ts") > 0)
     times = F.filter(F.transform("ts", lambda t: t["timestamp"]), lambda t: t != "")
     known = lambda *c: F.filter(F.concat(F.array(*c), times), lambda t: t != "")
