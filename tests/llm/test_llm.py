@@ -211,6 +211,29 @@ def test_messages_without_session(spark):
     assert [tuple(r) for r in kept] == [("s1", s, i, role, str(i + 1)) for i, (s, role) in enumerate([("s1", "user"), ("s1", "assistant"), ("s2", "user"), (None, "user"), ("s2", "assistant"), (None, "assistant")])]
 
 
+def test_conversations_without_any_session(spark):
+    from datetime import datetime
+
+    at = datetime(2025, 1, 1)
+    quoted, other = "call_" + "cd" * 10, "call_" + "ef" * 10
+    say = lambda role, text, **more: json.dumps({"type": "message", "role": role, "content": text, **more})
+    tool = lambda kind, i: json.dumps({"type": kind, "call_id": i})
+    rows = [
+        # Files f and g are tied by a call, k has no file, x waits for a reply, y has a call without output, z is no conversation.
+        ("f", 0, say("user", "1")), ("f", 1, tool("function_call", quoted)), ("g", 0, tool("function_call_output", quoted)), ("g", 1, say("assistant", "2")),
+        (None, 0, say("user", "3", call_id=other)), (None, 1, say("assistant", "4", call_id=other)),
+        ("x", 0, say("user", "no reply")), ("y", 0, say("user", "no output")), ("y", 1, tool("function_call", "a")), ("y", 2, say("assistant", "broken")), ("z", 0, say("system", "empty")), (None, 2, say("assistant", "alone")),
+    ]
+    day = {"f": 1, "g": 2}
+    rows = [(n, None, f, line, "response_item", f"2025-01-0{day.get(f, 4)}T00:00:00Z", None, p, at) for n, (f, line, p) in enumerate(rows)]
+    sound = [(n, "s", "s-0", n, "response_item", None, None, p, at) for n, p in ((100, say("user", "q")), (101, say("assistant", "a")))]
+    df = spark.createDataFrame(rows + sound + rows, CODEX)
+    assert conversations.dropped(df).count() == 0
+    assert sorted(map(tuple, conversations.messages(df).collect()), key=repr) == [
+        (f"c:{quoted}", None, 0, "user", "1"), (f"c:{quoted}", None, 1, "assistant", "2"), (f"c:{other}", None, 0, "user", "3"), (f"c:{other}", None, 1, "assistant", "4"), ("s", "s", 0, "user", "q"), ("s", "s", 1, "assistant", "a"),
+    ]
+
+
 # P5
 
 
