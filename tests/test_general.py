@@ -73,6 +73,14 @@ def test_mixture_prefers_the_sources_format(spark):
     assert sure.utc == "2025-03-05T10:00:00Z"
 
 
+def test_found_times_need_no_mixture(spark, sf, monkeypatch):
+    records, codex = spark.read.parquet(f"{sf}/records.parquet"), spark.read.parquet(f"{sf}/codex_session.parquet")
+    values = timestamps.record_times(records).unionByName(timestamps.codex_times(codex)).where(F.col("value").isNotNull() & (timestamps.strip(F.col("value")) != "") & ~timestamps.is_canonical(F.col("value")))
+    want = {tuple(r) for r in timestamps.normalise(values).select("tbl", "id", "turn_no", "utc").collect()}
+    monkeypatch.setattr(timestamps, "format_mixture", lambda read: pytest.fail("a mixture was fitted that decides nothing"))
+    assert {tuple(r) for r in timestamps.times_found(records, codex).collect()} == want
+
+
 def test_items_against_python(spark, sf):
     want = set()
     for r in spark.read.parquet(f"{sf}/records.parquet").collect():
