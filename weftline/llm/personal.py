@@ -16,9 +16,9 @@ combinations, combined map-side, not mentions.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -34,8 +34,8 @@ SEED = 0.97
 #: An instance labels its patterns in the next round only if it is this sure.
 SURE = 0.75
 THRESHOLD = 0.5
-#: Given names up to this number are searched for in the scan; of more, pairs of words go out and meet them in a join.
-GIVEN_NAMES = 20_000
+#: The scan's filter of given names has FILTER_BITS for each of so many; of more names, more words pass that meet none in the join.
+GIVEN_NAMES, FILTER_BITS = 20_000, 512
 #: At most this many patterns can each make up more than 1/HOT of all edges: the size bound of a broadcast.
 HOT = 10_000
 
@@ -98,13 +98,70 @@ def who_is(a: str, b: str) -> str:
     return f"{x}|{y}" if y else ""
 
 
-@lru_cache(maxsize=4)
-def _lower_names(given: frozenset[str] | None) -> re.Pattern | None:
-    """A given name (any word if there are too many names) and a word after it, both in lower case."""
-    if given is not None and not given:
-        return None
-    names = r"[a-z][a-z'’\-]+" if given is None else "|".join(sorted(map(re.escape, given), key=len, reverse=True))
-    return re.compile(rf"(?<![{_M}.@+])({names})\s+([^\W\d_A-Z][{_M}]{{3,}})(?![@.\w])")
+class NameFilter:
+    """Whether a word may be a given name: a bit for each hash of one, none for a filter that lets all pass. It never misses a name.
+
+    It holds the names and the first word of each; ``words`` is the greatest
+    number of words of a name.
+    """
+
+    def __init__(self, bits: int, chunks: dict[int, bytes], words: int) -> None:
+        self.bits, self.chunks, self.words, self.others = bits, chunks, words, set()
+
+    def __contains__(self, name: str) -> bool:
+        if not self.bits:
+            return True
+        chunk, bit = divmod(zlib.crc32(name.encode("utf-8", "replace")) % self.bits, CHUNK)
+        return chunk in self.chunks and bool(self.chunks[chunk][bit >> 3] >> (bit & 7) & 1)
+
+    def among(self, words: set[str]) -> set[str]:
+        """Those of ``words`` that may be names; the others are remembered."""
+        found = {w for w in words - self.others if w in self}
+        self.others |= words - found
+        if len(self.others) > MEMO:
+            self.others.clear()
+        return found
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"others": set()}
+
+
+#: Bits in a row of the filter, as Spark builds it; words a worker remembers.
+CHUNK, MEMO = 32_768, 200_000
+_FIRST = re.compile(rf"(?<![{_M}.@+])[^\W\d_A-Z][{_M}.]*+(?=\s)")
+_NEXT = re.compile(rf"\s+[^\W\d_A-Z][{_M}.]*+(?=\s)")
+_FAMILY = re.compile(rf"\s+([^\W\d_A-Z][{_M}]{{3,}})(?![@.\w])")
+
+
+def _lower_names(text: str, given: NameFilter | frozenset[str] | None) -> Iterator[tuple[tuple[int, int], list[str], bool]]:
+    """Every word in lower case that may be a given name (any if ``given`` is None), with the word after it.
+
+    Pairs may overlap: the directory, not what else passed, says which hold a name.
+    """
+    if given is not None and not isinstance(given, NameFilter) and not given:
+        return
+    words, first = 1, None
+    if isinstance(given, NameFilter):
+        words, first = given.words, given.among(set(_FIRST.findall(text)))
+        if not first:
+            return
+    elif given:
+        words = max(len(n.split()) for n in given)
+    for m in _FIRST.finditer(text):
+        if first is not None and m[0] not in first:
+            continue
+        end = m.end()
+        for k in range(words):
+            if k:
+                more = _NEXT.match(text, end)
+                if more is None:
+                    break
+                end = more.end()
+            name = text[m.start() : end]
+            if (given is None or name in given) and name == name.lower():
+                family = _FAMILY.match(text, end)
+                if family:
+                    yield (m.start(), family.end()), [name, family[1]], True
 
 
 def _mask(text: str, spans: list[tuple[int, int]]) -> str:
@@ -136,7 +193,7 @@ def _mail_owner(local: str) -> str:
     return who_is(parts[0], parts[1]) if len(parts) == 2 else ""
 
 
-def mentions(text: str, given: frozenset[str] | None = frozenset()) -> list[Mention]:
+def mentions(text: str, given: NameFilter | frozenset[str] | None = frozenset()) -> list[Mention]:
     """All mentions of a text; what one kind covers is not offered to the next."""
     out: list[Mention] = []
     spans: list[tuple[int, int]] = []
@@ -192,9 +249,7 @@ def mentions(text: str, given: frozenset[str] | None = frozenset()) -> list[Ment
             text = _mask(text, spans[done:])
             done = len(spans)
     found = [(m.span(), [g for g in m.groups() if g], False) for m in NAME.finditer(text)]
-    lower = _lower_names(given)
-    if lower is not None:
-        found += [(m.span(), [m[1], m[2]], True) for m in lower.finditer(text)]
+    found += _lower_names(text, given)
     for (start, end), (a, b), small in found:
         nodes = (*_around(text, start, end, "name"), f"name|N|{a.lower()}", f"name|N|{b.lower()}")
         take(start, end, "lower" if small else "name", "", nodes, who_is(a, b))
@@ -211,10 +266,22 @@ def people_of(accounts: DataFrame) -> DataFrame:
     return accounts.where("kind = 'person' and given_name is not null and family_name is not null").select(F.lower("given_name").alias("given"), F.lower("family_name").alias("family")).distinct()
 
 
-def given_names(people: DataFrame, most: int = GIVEN_NAMES) -> frozenset[str] | None:
-    """The directory's given names, or None if there are more than ``most``."""
-    rows = people.select("given").distinct().limit(most + 1).collect()
-    return frozenset(r[0] for r in rows) if len(rows) <= most else None
+def given_names(people: DataFrame, most: int = GIVEN_NAMES) -> NameFilter | frozenset[str]:
+    """A filter of the directory's given names, as large for few as for many; ``most`` sets its size (0: none), which changes no result.
+
+    Spark builds it in rows of CHUNK bits, so only the filter comes to the driver.
+    """
+    words = people.agg(F.max(F.size(F.split(F.trim("given"), r"\s+")))).first()[0]
+    if words is None:
+        return frozenset()
+    bits = most * FILTER_BITS
+    if not bits:
+        return NameFilter(0, {}, words)
+    at = F.pmod(F.crc32(F.col("given").cast("binary")), F.lit(bits))
+    names = people.select(F.explode(F.array("given", F.split(F.trim("given"), r"\s+")[0])).alias("given"))
+    rows = names.select(F.floor(at / CHUNK).cast("int").alias("chunk"), (at % CHUNK).alias("bit")).distinct()
+    built = rows.groupBy("chunk").agg(F.bitmap_construct_agg("bit").alias("bitmap")).collect()
+    return NameFilter(bits, {r.chunk: bytes(r.bitmap) for r in built}, words)
 
 
 def fields_of(records: DataFrame) -> DataFrame:
@@ -225,7 +292,7 @@ def fields_of(records: DataFrame) -> DataFrame:
     return rows.select("record_id", "turn_no", "f.field", "f.text").where("text is not null and text != ''")
 
 
-def scan(fields: DataFrame, given: frozenset[str] | None) -> DataFrame:
+def scan(fields: DataFrame, given: NameFilter | frozenset[str] | None) -> DataFrame:
     """The mentions of all fields, one row each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
